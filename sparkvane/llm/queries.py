@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup
+from . import decontaminate, embedding_dedup, line_dedup, minhash_dedup
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_minhash_dedup": minhash_dedup.query,
     "op9_decontaminate": decontaminate.query,
 }
 
