@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Largest table, in bytes of its text, that an operator may hold in a broadcast variable.
 BROADCAST_BYTES = 64 << 20
@@ -51,3 +52,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def carried(columns: list[str]) -> list[Column]:
+    """Columns that an operator passes through, as one struct that clashes with no name."""
+    return [F.struct(*columns).alias("_carried")] if columns else []

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import BROADCAST_BYTES, ship
+from ._spark import BROADCAST_BYTES, carried, ship
 
 _FILTER_BITS = 22
 
@@ -75,25 +75,27 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-               ngram: int = 13, keep_text: bool = False, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+               ngram: int = 13, keep_text: bool = False, broadcast_bytes: int = BROADCAST_BYTES, carry: list[str] = ()) -> DataFrame:
     """One row per document row: ``doc_id``, ``n_words``, ``spans`` (hit words as half-open
     ranges of word numbers), ``items`` (item ids as sorted strings) and, if asked for,
     ``cleaned``: the text without the spans.
 
     Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z
     lower-cased. An item of fewer than ``ngram`` words is one window; an item without words
-    has none. Null texts have no words. Rows with equal ids are handled apart. Other
-    columns are not read.
+    has none. Null texts have no words. Rows with equal ids are handled apart. The
+    columns ``carry`` come along as a struct ``_carried``; others are not read.
     """
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *carried(carry))
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     schema += ", cleaned string" if keep_text else ""
+    schema += f", _carried {base.schema['_carried'].dataType.simpleString()}" if carry else ""
+    columns = ["doc_id", "n_words", "spans", "items", *(["cleaned"] if keep_text else []), *(["_carried"] if carry else [])]
     if size > broadcast_bytes:
-        return _by_join(base, items, ngram, keep_text, schema)
+        return _by_join(base, items, ngram, keep_text, schema, columns)
 
     rows = items.collect()
     names = [r.item for r in rows]
@@ -130,12 +132,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 for d, x in spans.items():
                     texts[d] = _without(data[offsets[d] : offsets[d + 1]].tobytes(), x, start - offsets[d], end - offsets[d])
                 out.append(pa.array(texts, pa.string()) if spans else column)
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "spans", "items", "cleaned"][: len(out)])
+            out += [batch.column("_carried")] if carry else []
+            yield pa.RecordBatch.from_arrays(out, columns)
 
     return base.mapInArrow(scan, schema)
 
 
-def _by_join(base: DataFrame, items: DataFrame, ngram: int, keep_text: bool, schema: str) -> DataFrame:
+def _by_join(base: DataFrame, items: DataFrame, ngram: int, keep_text: bool, schema: str, columns: list[str]) -> DataFrame:
     """The same result without a broadcast: windows of both sides meet by hash and words.
 
     Document windows pass a filter of bounded size (a bit per hash prefix) before they are
@@ -175,7 +178,8 @@ def _by_join(base: DataFrame, items: DataFrame, ngram: int, keep_text: bool, sch
     kind = keyed.schema["row"].dataType.simpleString()
     seen = keyed.select("row", "text").distinct().mapInArrow(document_windows, f"row {kind}, a long, w int, window string, h long")
     hits = seen.join(windows, ["h", "w", "window"]).groupBy("row").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct("a", "w")).alias("at"))
-    joined = keyed.join(hits, keyed["row"].eqNullSafe(hits["row"]), "left").select("doc_id", "text", "items", "at")
+    joined = keyed.join(hits, keyed["row"].eqNullSafe(hits["row"]), "left").select(*base.columns, "items", "at")
+    carry = "_carried" in base.columns
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in _text.slices(b, "text")):
@@ -191,7 +195,8 @@ def _by_join(base: DataFrame, items: DataFrame, ngram: int, keep_text: bool, sch
                         own = slice(first[d], first[d + 1])
                         texts[d] = _without(data[offsets[d] : offsets[d + 1]].tobytes(), x, start[own] - offsets[d], end[own] - offsets[d])
                 out.append(pa.array(texts, pa.string()))
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_words", "spans", "items", "cleaned"][: len(out)])
+            out += [batch.column("_carried")] if carry else []
+            yield pa.RecordBatch.from_arrays(out, columns)
 
     return joined.mapInArrow(finish, schema)
 
@@ -204,7 +209,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.05, **
     """``doc_id``, ``text`` of the documents of which less than ``share`` of the words are
     hit, without the hit spans; the others go."""
     found = find_leaks(docs, benchmark, keep_text=True, **options)
-    return found.where((n_hit() == 0) | (n_hit() < share * F.col("n_words"))).select("doc_id", F.col("cleaned").alias("text"))
+    return found.where((n_hit() == 0) | (n_hit() < share * F.col("n_words"))).select("doc_id", F.col("cleaned").alias("text"), *(["_carried"] if options.get("carry") else []))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

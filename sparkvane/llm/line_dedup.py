@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import materialize, shuffle_partitions
+from ._spark import carried, materialize, shuffle_partitions
 
 #: A key with more than this share of lines is counted apart.
 HOT = 512
@@ -29,16 +29,16 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
 
 
-def keep_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def keep_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: list[str] = ()) -> DataFrame:
     """One row per document row: ``doc_id``, ``text``, ``n_lines``, ``n_dropped`` and ``runs``,
     the kept lines as an array of (start, length).
 
     A line is dropped if its key has at least ``min_chars`` code points, occurs in at least
     ``min_docs`` documents, and this is not the largest id among them. Null or empty text is
     one empty line. Rows of one id count as one document. A null id is a document of its
-    own, below all others. Other columns are not read.
+    own, below all others. The columns ``carry`` come along as a struct ``_carried``; others are not read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carried(carry))
     lines = base.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     lines = lines.where(F.char_length("line") >= min_chars).withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
     # two independent 64-bit hashes: one column's hash seeds the next one's
@@ -70,7 +70,7 @@ def keep_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     starts = F.concat(F.array(F.lit(0)), F.transform("dropped", lambda x: x + 1))
     ends = F.concat("dropped", F.array(F.col("n_lines").cast("int")))
     runs = F.filter(F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), (b - a).alias("length"))), lambda r: r["length"] > 0)
-    return out.select("doc_id", "text", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), runs.alias("runs"))
+    return out.select("doc_id", "text", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), runs.alias("runs"), *(["_carried"] if carry else []))
 
 
 def kept_text() -> Column:
@@ -80,10 +80,10 @@ def kept_text() -> Column:
     return F.when(F.col("n_dropped") == 0, F.col("text")).otherwise(kept)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, carry: list[str] = ()) -> DataFrame:
     """:func:`keep_runs` applied: ``doc_id``, ``n_lines``, ``n_dropped``, ``runs``, ``kept``."""
-    out = keep_runs(docs, id_col, text_col, min_chars, min_docs)
-    return out.select("doc_id", "n_lines", "n_dropped", "runs", kept_text().alias("kept"))
+    out = keep_runs(docs, id_col, text_col, min_chars, min_docs, carry)
+    return out.select("doc_id", "n_lines", "n_dropped", "runs", kept_text().alias("kept"), *(["_carried"] if carry else []))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

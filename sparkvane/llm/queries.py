@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, line_dedup, minhash_dedup
+from . import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
+    "op2_quality": quality.query,
+    "op3_toxicity": toxicity.query,
+    "op4_token_counts": token_counts.query,
+    "op5_language_id": language_id.query,
     "op6_line_dedup": line_dedup.query,
     "op7_minhash_dedup": minhash_dedup.query,
+    "op8_license_scan": license_scan.query,
     "op9_decontaminate": decontaminate.query,
+    "op10_packing": packing.query,
 }
 
-SQL = {"op6_line_dedup": line_dedup.SQL}
+SQL = {"op6_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL}
