@@ -13,6 +13,7 @@ import json
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,8 @@ class Collection:
         stream = self._fs.open(self._at(name))
         try:
             raw = bytes(stream.readAllBytes())
+        except Py4JJavaError as e:  # the file system's own checksum
+            raise StoreError(f"{name} is damaged: {str(e)[:300]}") from e
         finally:
             stream.close()
         try:
