@@ -32,9 +32,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shared lines go; so do documents that lose all they had."""
-    out = line_dedup.dedup_lines(docs, carry=_others(docs))
-    return _like(docs, out.where((F.col("n_dropped") == 0) | (F.btrim("kept", F.lit(line_dedup.SPACES)) != "")), "kept")
+    """Shared lines go; every document stays, if with less text."""
+    return _like(docs, line_dedup.dedup_lines(docs, carry=_others(docs)), "kept")
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
