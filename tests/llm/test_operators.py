@@ -84,6 +84,23 @@ def test_large_families_meet_in_blocks(spark, monkeypatch):
     assert tuples(got) == sorted(brute.near_copies(docs), key=repr)
 
 
+def test_pairs_whose_buckets_have_other_firsts(spark, monkeypatch):
+    for name, value in (("MARGIN", 0.0), ("BANDS", 150), ("WIDTH", 1), ("BLOCK", 64)):  # large buckets from few documents
+        monkeypatch.setattr(minhash_dedup, name, value)
+    rng = np.random.default_rng(6)
+    common = [f"c{i}" for i in range(38)]
+    docs = [(i, " ".join([*common, *(f"o{i}x{j}" for j in range(62))])) for i in range(600)]
+    for i in range(60):  # pairs with larger ids than whatever shares a third of their words
+        own = docs[10 * i][1].replace("o", f"p{i}o").split()
+        docs.append((10_000 + 2 * i, " ".join(own)))
+        own[40] = own[50] = own[60] = own[70] = own[80] = "other"
+        docs.append((10_001 + 2 * i, " ".join(own)))
+    order = rng.permutation(len(docs))
+    got = minhash_dedup.near_copies(spark.createDataFrame([docs[i] for i in order], "doc_id long, text string"), k=2)
+    found = {r.doc_id: r.component_id for r in got.collect()}
+    assert {d: c for d, c in found.items() if d != c} == {10_001 + 2 * i: 10_000 + 2 * i for i in range(60)}
+
+
 def test_likelihood_tells_similarities_apart():
     rng = np.random.default_rng(2)
     for share, want in ((0.9, True), (0.8, True), (0.2, False)):
