@@ -79,14 +79,16 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch with at most ``most`` bytes of text, or a single longer row."""
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch with at most ``most`` bytes of text, or a single longer row. Small
+    pieces bound what a worker holds; after a batch, free Arrow memory goes back."""
     _, offsets = buffers(batch.column(text))
     a = 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
         yield batch.slice(a, b - a)
         a = b
+    pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
