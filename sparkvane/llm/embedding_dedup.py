@@ -33,6 +33,8 @@ from ._spark import materialize, ship
 
 PER_FILTER, FILTERS, CODES = 0.05, 16, 8
 BLOCK = 1024
+#: Numbers that the codes a worker keeps may have, and the scores of one block at a time.
+HELD, SCORES = 1 << 24, 1 << 22
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +72,8 @@ class Code:
         p = min(0.05, PER_FILTER / max(n, 1))
         self.alpha = NormalDist().inv_cdf(1 - p)
         total = FILTERS / p
-        self.blocks = min(d, max(2, math.ceil(math.log(total, 8192))))
+        # always two: with three, filters fall so unevenly on vectors that near pairs share none
+        self.blocks = min(d, 2)
         self.size = math.ceil(total ** (1 / self.blocks))
         rng = np.random.default_rng((11, d, number))
         self.rotation = np.linalg.qr(rng.normal(size=(d, d)))[0]
@@ -102,18 +105,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _keys(nodes: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[int, list[Code]] = {}
+        codes: dict[tuple[int, int], Code] = {}
         for b in batches:
             size = np.array([len(x) // 8 for x in b.column("unit").to_pylist()], np.int64)
             for d in np.unique(size).tolist():
                 own = b.filter(pa.array(size == d))
-                if d not in codes:
-                    codes[d] = [Code(n, d, i) for i in range(CODES)]
-                for a in range(0, own.num_rows, 512):
-                    part = own.slice(a, 512)
-                    x = _matrix(part.column("unit"))
-                    for i, code in enumerate(codes[d]):
-                        got = code.decode(x)
+                for i in range(CODES):
+                    code = codes.get((d, i)) or Code(n, d, i)
+                    if CODES * d * code.size <= HELD:
+                        codes[d, i] = code  # larger ones are made anew for each batch
+                    rows = max(1, min(512, SCORES // code.size))
+                    for a in range(0, own.num_rows, rows):
+                        part = own.slice(a, rows)
+                        got = code.decode(_matrix(part.column("unit")))
                         count = np.array([len(y) for y in got])
                         # code and dimension are part of the key: only vectors of one dimension meet
                         key = (np.concatenate(got) * CODES + i) * 65537 + d

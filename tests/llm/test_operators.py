@@ -126,6 +126,20 @@ def test_near_vectors(spark):
     assert all(got[i] == (0, i, True) for i in range(900, 906)) and got[None] == (0, None, True)
 
 
+@pytest.mark.parametrize("n", [300_000, 1_000_000, 10_000_000])
+def test_near_pairs_share_a_filter_whatever_the_number_of_vectors(n):
+    rng = np.random.default_rng(5)
+    x, z = rng.normal(size=(2, 300, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (x * z).sum(1)[:, None] * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    met = np.zeros(300, bool)
+    for i in range(embedding_dedup.CODES):
+        code = embedding_dedup.Code(n, 64, i)
+        met |= [len(np.intersect1d(p, q)) > 0 for p, q in zip(code.decode(x), code.decode(y))]
+    assert met.all()
+
+
 def test_token_counts_equal_the_library(spark, odd, rows):
     import public_tokenizers
     import sentencepiece
