@@ -1,7 +1,8 @@
 """License scans by sentence-rule recognition, with built-in functions only.
 
-A text's sentences are normalised and mapped to the identifiers of known licence sentences;
-the text's sequence of identifiers is then matched against licence rules, each an ordered
+A text's sentences are normalised and mapped to the identifiers of known licence sentences.
+A sentence begins and ends where a sentence or a line does, and may be wrapped over lines,
+with comment marks before each. The text's sequence of identifiers is then matched against licence rules, each an ordered
 sequence of identifiers that must follow one another with no other known sentence between.
 Texts without any word that a known sentence must have are not split.
 """
@@ -65,6 +66,9 @@ RULES = {
 #: Each known sentence has one of these in a word.
 ANCHORS = ["licen", "software", "permission", "redistribut", "warrant"]
 END, GAP = r"([.!?:;])[ \t\n\x0B\f\r]+", "[^a-z0-9]+"
+#: What is between words, once ends of sentences are \x01: an end ".", a line break "|" or a blank.
+#: Comment marks and empty lines go with the line break they follow.
+MARKS = [("[^a-z0-9\n\x01]+", " "), (" ?\n[ \n]*", "|"), ("[ |]?\x01[ |\x01]*", ".")]
 
 
 def normal(sentence: str) -> str:
@@ -85,6 +89,13 @@ def _known() -> dict[str, str]:
     return out
 
 
+def _pattern() -> str:
+    """Known sentences, the longest first, from one end of a sentence or line to another; lines
+    may break between any two words."""
+    known = sorted(_known(), key=lambda x: (-len(x), x))
+    return "(?<=[|.])(?:" + "|".join(x.replace(" ", "[ |]") for x in known) + ")(?=[|.])"
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: ``doc_id``, ``sentences`` (identifiers of known sentences in
     order) and ``licenses`` (names of the rules that match, sorted).
@@ -96,9 +107,11 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     may = F.lit(False)
     for a in ANCHORS:
         may = may | low.contains(a)
-    sentences = F.split(F.regexp_replace(F.translate(F.col("text"), UPPER, LOWER), END, "$1\n"), "\n", -1)
-    named = F.transform(sentences, lambda s: F.element_at(known, F.btrim(F.regexp_replace(s, GAP, " "))))
-    found = F.filter(named, lambda s: s.isNotNull())
+    parts = F.regexp_replace(F.translate(F.col("text"), UPPER + "\x01", LOWER + "_"), END, "$1\x01")
+    for pattern, mark in MARKS:
+        parts = F.regexp_replace(parts, pattern, mark)
+    parts = F.concat(F.lit("|"), F.btrim(parts, F.lit(" |.")), F.lit("|"))
+    found = F.transform(F.regexp_extract_all(parts, F.lit(_pattern()), F.lit(0)), lambda s: F.element_at(known, F.translate(s, "|", " ")))
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = base.select("doc_id", F.when(may, found).otherwise(F.array().cast("array<string>")).alias("sentences"))
     sequence = F.concat(F.lit(" "), F.array_join("sentences", " "), F.lit(" "))

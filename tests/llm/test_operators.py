@@ -1,3 +1,4 @@
+import textwrap
 import zlib
 
 import numpy as np
@@ -249,6 +250,25 @@ def test_licenses(spark, odd):
         assert any(a in text.lower() for a in license_scan.ANCHORS), name
 
 
+def test_wrapped_licenses(spark):
+    wanted = {n: r for n, r in license_scan.RULES.items() if n.endswith((":text", ":header"))}
+    docs, want = [], {}
+    for name, rule in wanted.items():
+        for width in (40, 76):
+            for mark in ("", "# ", " * ", "// "):
+                for end in ("\n", "\r\n"):
+                    text = "Copyright 2020 someone. " + " ".join(license_scan.SENTENCES[x] for x in rule)
+                    text = text.replace(" http", "\n\nhttp").replace("LICENSE-2.0 ", "LICENSE-2.0\n\n")
+                    lines = [x for p in text.split("\n") for x in textwrap.wrap(p, width, break_on_hyphens=False) or [""]]
+                    want[len(docs)] = rule
+                    docs.append((len(docs), f"A title{end}{mark.rstrip()}{end}" + end.join(mark + x for x in lines) + f"{end}{end}code();"))
+    for text, ids in {"x\nLicensed under CC BY 4.0\ny": ["cc-by-4"], "Licensed under the\n\nMIT License": ["mit-licensed"], "Released under. The MIT License.": [], "licence\nfoo released under the MIT License": [], "Released under the MIT License.\nReleased under the MIT License": ["mit-notice"] * 2, "software " + "\n" * 200_000 + "# %" * 200_000 + "é " * 200_000: []}.items():
+        want[len(docs)] = ids
+        docs.append((len(docs), text))
+    got = {r.doc_id: r.sentences for r in license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_pipeline(spark, tables):
     docs = tables["documents"]
     sizes, at = [], docs
