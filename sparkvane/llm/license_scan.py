@@ -76,7 +76,8 @@ def normal(sentence: str) -> str:
 
 
 def _known() -> dict[str, str]:
-    """Normalised sentence to identifier; the sentences are split as texts are."""
+    """For the SQL, which has sentences of one part or the last part only: normalised sentence to
+    identifier."""
     out: dict[str, str] = {}
     for name, text in SENTENCES.items():
         parts = [normal(x) for x in re.sub(END, "\\1\n", text).split("\n")]
@@ -89,11 +90,17 @@ def _known() -> dict[str, str]:
     return out
 
 
+def _whole() -> dict[str, str]:
+    """Normalised sentence, with all its parts, to identifier."""
+    return {normal(text): name for name, text in SENTENCES.items()}
+
+
 def _pattern() -> str:
     """Known sentences, the longest first, from one end of a sentence or line to another; lines
-    may break between any two words."""
-    known = sorted(_known(), key=lambda x: (-len(x), x))
-    return "(?<=[|.])(?:" + "|".join(x.replace(" ", "[ |]") for x in known) + ")(?=[|.])"
+    may break between any two words. Ends within a known sentence (as after "v.") belong to it."""
+    parts = [[normal(x).replace(" ", "[ |]") for x in re.sub(END, "\\1\n", text).split("\n")] for text in SENTENCES.values()]
+    known = sorted(("[ |.]".join(x) for x in parts), key=lambda x: (-len(x), x))
+    return "(?<=[|.])(?:" + "|".join(known) + ")(?=[|.])"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,7 +109,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A rule that is part of a longer matching rule of the same sequence is reported too. Null or empty texts have none. Other columns are not read.
     """
-    known = F.create_map(*[F.lit(x) for pair in _known().items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in _whole().items() for x in pair])
     low = F.lower(F.col("text"))
     may = F.lit(False)
     for a in ANCHORS:
@@ -111,7 +118,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for pattern, mark in MARKS:
         parts = F.regexp_replace(parts, pattern, mark)
     parts = F.concat(F.lit("|"), F.btrim(parts, F.lit(" |.")), F.lit("|"))
-    found = F.transform(F.regexp_extract_all(parts, F.lit(_pattern()), F.lit(0)), lambda s: F.element_at(known, F.translate(s, "|", " ")))
+    found = F.transform(F.regexp_extract_all(parts, F.lit(_pattern()), F.lit(0)), lambda s: F.element_at(known, F.translate(s, "|.", "  ")))
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = base.select("doc_id", F.when(may, found).otherwise(F.array().cast("array<string>")).alias("sentences"))
     sequence = F.concat(F.lit(" "), F.array_join("sentences", " "), F.lit(" "))

@@ -1,3 +1,4 @@
+import re
 import textwrap
 import zlib
 
@@ -269,6 +270,16 @@ def test_wrapped_licenses(spark):
     assert got == want
 
 
+def test_license_sentences_of_several_parts(spark):
+    mpl, gpl = license_scan.SENTENCES["mpl2-terms"], license_scan.SENTENCES["gpl-hope"]
+    cases = {"This software.\nVersion: 2.0": [], "2.0\nsoftware": [], mpl: ["mpl2-terms"], mpl.replace("v. ", "v.\n * "): ["mpl2-terms"], f"{gpl}\n2.0\n{mpl}": ["gpl-hope", "mpl2-terms"]}
+    for name in ("apache-licensed", "gpl-free", "gpl-hope"):
+        first, last = re.split("[;:] ", license_scan.SENTENCES[name])
+        cases |= {license_scan.SENTENCES[name]: [name], last: [], f"{first}; licence": []}
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert {r.doc_id: r.sentences for r in license_scan.scan_licenses(docs).collect()} == dict(enumerate(cases.values()))
+
+
 def test_pipeline(spark, tables):
     docs = tables["documents"]
     sizes, at = [], docs
