@@ -104,6 +104,18 @@ def test_graph_recall_and_filtered_search(spark):
     assert [r.id for r in filtered.search(df, q[0], 10, Filter((Range("id", 0, 30),)), index=index)[0].collect()] == [r.id for r in search.top_k(df, q[0], 10, where=Filter((Range("id", 0, 30),))).collect()]
 
 
+@pytest.mark.parametrize("name", ["ann_topk", "quant_recall"])
+def test_recall_rests_on_every_fiftieth_row(spark, monkeypatch, name):
+    seen = []
+    batch, walk = search.knn_batch, ann.search_index
+    monkeypatch.setattr(search, "knn_batch", lambda base, queries, *a, **b: seen.append((queries, b)) or batch(base, queries, *a, **b))
+    monkeypatch.setattr(ann, "search_index", lambda index, queries, *a, **b: seen.append((queries, b)) or walk(index, queries, *a, **b))
+    assert engine.QUERIES[name](spark, "/root/testdata/sf0.1").first().recall_holds
+    assert len(seen) == 2
+    for queries, options in seen:
+        assert sorted(r.qid for r in queries.select("qid").collect()) == list(range(0, 2000, 50)) and not options
+
+
 def test_recall_edges(spark):
     empty = spark.createDataFrame([], "qid long, id long, rank int")
     assert evaluate.recall_at_k(empty, empty, 10).first()[0] == 1.0
