@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkvane.llm import decontaminate, language_id, line_dedup, minhash_dedup, packing
 from sparkvane.llm._spark import BROADCAST_BYTES, materialize
 
-#: Phrases a letter beyond which a text is in none of the learned languages.
+#: Completed phrases a letter beyond which a text is in none of the learned languages.
 MOST_PHRASES = 0.75
 
 

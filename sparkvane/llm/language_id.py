@@ -131,7 +131,7 @@ class Model:
         return out, np.diff(letters)
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(language, score, phrases a letter) by text."""
+        """(language, score, completed phrases a letter) by text."""
         phrases, letters = self.phrases(column)
         if not self.languages:
             return ["und"] * len(letters), np.zeros(len(letters)), np.zeros(len(letters))
@@ -141,7 +141,8 @@ class Model:
         others = np.sort(cost, 1)[:, 1] if cost.shape[1] > 1 else 2 * least
         ok = letters > 0
         score = np.where(ok, 1 - least / np.maximum(others, 1e-9), 0.0)
-        rate = np.where(ok, np.take_along_axis(phrases, best[:, None], 1)[:, 0] / np.maximum(letters, 1), 0.0)
+        # the last phrase is open: a text that fits as a whole has completed none
+        rate = np.where(ok, (np.take_along_axis(phrases, best[:, None], 1)[:, 0] - 1) / np.maximum(letters, 1), 0.0)
         return [self.languages[i] if y else "und" for i, y in zip(best, ok)], score, rate
 
 
@@ -162,8 +163,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
     """One row per document row: ``doc_id``, ``text``, ``lang_pred``, ``score`` (how many per cent
-    fewer weighed phrases than for the next language, 0 to 1) and ``rate`` (phrases a
-    letter). Null texts and those without letters are ``und`` with score 0. Languages that tie
+    fewer weighed phrases than for the next language, 0 to 1) and ``rate`` (completed
+    phrases a letter). Null texts and those without letters are ``und`` with score 0. Languages that tie
     go by name. Without labelled rows all is ``und``. The columns ``carry`` come
     along as a struct ``_carried``; others are not read.
     """

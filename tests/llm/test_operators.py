@@ -203,6 +203,14 @@ def test_language(spark, odd, tables):
     assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_clean_short_documents_stay(spark, tables):
+    learned = tables["documents"].where("doc_id % 5 > 0")
+    short = [(900, "A."), (901, "a"), (902, "I am"), (903, "The end."), (904, "?!"), (905, "日本語 テスト")]
+    docs = learned.unionByName(spark.createDataFrame([(i, t, None, "x", len(t)) for i, t in short], tables["documents"].schema))
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, DATA).where("doc_id >= 900").collect()}
+    assert kept == {900, 901, 902, 903}
+
+
 def test_automaton_phrases():
     text, own = "abcabdab", {"a": 0, "b": 1, "c": 2, "d": 3}
     table = language_id.automaton(np.array([own[c] for c in text]), 4)
