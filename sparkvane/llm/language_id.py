@@ -146,19 +146,33 @@ class Model:
         return [self.languages[i] if y else "und" for i, y in zip(best, ok)], score, rate
 
 
+def pieces(texts: list[tuple[int, str]]) -> list[str]:
+    """Of each ``(hash, text)`` an equal share of ``SAMPLE_CHARS``, with a space after each; what
+    short texts leave goes to the longer ones."""
+    share, left = {}, SAMPLE_CHARS
+    order = sorted(range(len(texts)), key=lambda i: len(texts[i][1]))
+    for done, i in enumerate(order):
+        share[i] = min(len(texts[i][1]), max(0, left // (len(texts) - done) - 1))
+        left -= share[i] + 1
+    out = []
+    for i, (h, text) in enumerate(texts):
+        at = h % (len(text) - share[i] + 1)
+        out.append(text[at : at + share[i]])
+    return [x for x in out if x]
+
+
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of whole texts of at most ``SAMPLE_ROWS`` rows a language (those whose ids have the
-    smallest hashes), up to ``SAMPLE_CHARS`` characters a language, of rows not held out."""
+    """A model of at most ``SAMPLE_ROWS`` rows a language (those whose ids have the smallest
+    hashes) of rows not held out, up to ``SAMPLE_CHARS`` characters a language: short texts whole,
+    and of each longer one a piece of equal length, from a place that the id's hash gives."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     nth = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
     few = rows.select(id_col, lang_col).withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS).select(id_col)
     ids = [r[0] for r in few.distinct().collect()]  # at most SAMPLE_ROWS a language
-    texts: dict[str, list[str]] = {}
-    for r in rows.where(F.col(id_col).isin(ids)).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).orderBy(F.xxhash64("i"), "i", "t").collect():
-        own = texts.setdefault(r.l, [])
-        if sum(map(len, own)) < SAMPLE_CHARS:
-            own.append(normal(r.t)[:SAMPLE_CHARS])
-    return Model({k: " ".join(v)[:SAMPLE_CHARS] for k, v in texts.items() if any(v)})
+    texts: dict[str, list[tuple[int, str]]] = {}
+    for r in rows.where(F.col(id_col).isin(ids)).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).orderBy("h", "i", "t").collect():
+        texts.setdefault(r.l, []).append((r.h, normal(r.t)))
+    return Model({k: " ".join(pieces(v)) for k, v in texts.items() if any(t for _, t in v)})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:

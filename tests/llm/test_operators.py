@@ -211,6 +211,21 @@ def test_clean_short_documents_stay(spark, tables):
     assert kept == {900, 901, 902, 903}
 
 
+def test_all_sampled_rows_are_learned(spark):
+    words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(200)]
+    docs = spark.createDataFrame([(i, f"{w} " * (40_000 if i % 3 else 5), "xx") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    rows = docs.where(~language_id.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).limit(language_id.SAMPLE_ROWS).collect()
+    learned = []
+    model = language_id.Model
+    try:
+        language_id.Model = lambda samples: learned.append(samples["xx"]) or model(samples)
+        language_id.learn(docs)
+    finally:
+        language_id.Model = model
+    assert {words[r.doc_id] for r in rows} <= set(learned[0].split())
+    assert 19_000 < len(learned[0]) <= language_id.SAMPLE_CHARS
+
+
 def test_automaton_phrases():
     text, own = "abcabdab", {"a": 0, "b": 1, "c": 2, "d": 3}
     table = language_id.automaton(np.array([own[c] for c in text]), 4)
