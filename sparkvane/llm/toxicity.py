@@ -2,8 +2,10 @@
 
 Words, with a mark at either end, give character n-grams; each hashes to an embedding. The
 average of a text's embeddings goes into a softmax over the two classes; embeddings and
-softmax are trained jointly in numpy, on a bounded sample of labelled rows. An unseen
-misspelling shares most n-grams, and so its vectors, with the word it stands for.
+softmax are trained jointly in numpy, on a bounded sample of labelled rows and misspelt copies
+of them. An unseen misspelling shares n-grams, and so its vectors, with the word it stands for
+or with other misspellings of it. Embeddings of n-grams that tell the classes apart little more
+than chance are held near zero by a prior, for there are very many of them.
 
 Texts are averaged by passages of ``PASSAGE`` words, so that a few words weigh the same in a
 text of any length; a text's score is that of its most toxic passage, in training as in use.
@@ -21,14 +23,17 @@ from pyspark.sql import functions as F
 from . import _text
 from ._spark import ship
 
-#: Labelled rows a class that are learned from, those whose ids have the smallest hashes.
-SAMPLE_ROWS = 1500
-NGRAMS, BITS, SIZE = (3, 4, 5, 6), 18, 8
-PASSAGE, EPOCHS, RATE, DECAY = 32, 30, 0.02, 0.02
-#: An n-gram has an embedding if the shares of sampled texts of either class that hold it differ
-#: by this many standard errors; other differences among so many n-grams are chance. The
-#: others count in averages, as zeros.
-DEVIATION = 6.0
+#: Bounds of the sample: labelled rows a class (whole texts, those whose ids have the smallest
+#: hashes), and the length of texts that may be in it.
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 32_768
+NGRAMS, BITS, SIZE = (3, 4, 5, 6), 20, 8
+PASSAGE, EPOCHS, RATE, DECAY, BATCH = 32, 20, 0.05, 1e-4, 64
+#: Misspelt copies of each sampled text of either class that are learned from too.
+COPIES = (1, 2)
+#: An embedding is scaled by how sure its n-gram tells the classes apart, as a prior: one half
+#: where the shares of texts that hold it differ by this many standard errors, less towards
+#: none and more beyond. Scales below ``FLOOR`` are zero.
+EVIDENCE, POWER, FLOOR = 6.0, 4, 0.01
 _U = np.uint64
 
 
@@ -76,77 +81,105 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(passages), text
 
 
+def misspelt(text: str, rng: np.random.Generator) -> str:
+    """A copy with two neighbouring letters swapped in each run of four ASCII letters or more."""
+    data = np.frombuffer(text.encode(), np.uint8).copy()
+    letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], letter, [0]]).astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    start, size = start[end - start >= 4], (end - start)[end - start >= 4]
+    at = start + (rng.random(len(start)) * (size - 1)).astype(np.int64)
+    data[at], data[at + 1] = data[at + 1].copy(), data[at].copy()
+    return data.tobytes().decode()
+
+
+def evidence(texts: list[str], labels: np.ndarray) -> np.ndarray:
+    """The scale of each n-gram's embedding: ``x / (1 + x)`` with ``x`` the power ``POWER`` of the
+    difference between the classes' shares of texts that hold it, in ``EVIDENCE`` standard errors."""
+    held = np.zeros((2, 1 << BITS))
+    for i in range(0, len(texts), 16):
+        g, p, t = grams(pa.array(texts[i : i + 16], pa.string()))
+        own = np.unique(g << 4 | t[p])
+        for c in (0, 1):
+            held[c] += np.bincount(own[labels[i + (own & 15)] == c] >> 4, minlength=1 << BITS)
+    sizes = np.array([[(labels == c).sum()] for c in (0, 1)])
+    mean = held.sum(0) / sizes.sum()
+    error = np.sqrt(mean * (1 - mean) * (1 / sizes).sum())
+    x = (np.abs(held[1] / sizes[1] - held[0] / sizes[0]) / np.maximum(error, 1e-9) / EVIDENCE) ** POWER
+    scale = x / (1 + x)
+    return np.where(scale < FLOOR, 0, scale).astype(np.float32)
+
+
 class Bags:
-    """A linear softmax over averaged subword embeddings."""
+    """A linear softmax over averaged subword embeddings, trained jointly."""
 
     def __init__(self, texts: list[str], labels: np.ndarray, seed: int = 5):
         self.share = float(labels.mean()) if len(labels) else 0.5
-        self.trained = 0 < self.share < 1
+        self.trained = len(labels) > 0 and 0 < self.share < 1
         if not self.trained:
             return
         rng = np.random.default_rng(seed)
-        table = rng.normal(0, 0.1, (1 << BITS, SIZE)).astype(np.float32)
-        out = rng.normal(0, 0.1, (SIZE, 2)).astype(np.float32)
-        bias = np.log(np.array([1 - self.share, self.share], np.float32))
-        held = np.zeros((2, 1 << BITS))
-        for i in range(0, len(texts), 16):
-            g, p, t = grams(pa.array(texts[i : i + 16], pa.string()))
-            own = np.unique(g << 8 | t[p])
-            for c in (0, 1):
-                held[c] += np.bincount(own[labels[i + (own & 255)] == c] >> 8, minlength=1 << BITS)
-        sizes = np.array([[(labels == c).sum()] for c in (0, 1)])
-        mean = held.sum(0) / sizes.sum()
-        error = np.sqrt(mean * (1 - mean) * (1 / sizes).sum())
-        rare = np.abs(held[1] / sizes[1] - held[0] / sizes[0]) < DEVIATION * np.maximum(error, 1e-9)
-        table[rare] = 0
-        bags = []
+        texts, labels = list(texts), labels.tolist()
+        for text, c in [*zip(texts, labels)]:
+            texts += [misspelt(text, rng) for _ in range(COPIES[c])]
+            labels += [c] * COPIES[c]
+        labels = np.array(labels)
+        scale = evidence(texts, labels)
+        known = np.flatnonzero(scale)
+        scale = scale[known][:, None]
+        # known n-grams by passage, all n-grams counted
+        number = np.full(1 << BITS, -1, np.int32)
+        number[known] = np.arange(len(known))
+        held, ends, every, text = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], []
         for i in range(0, len(texts), 16):
             g, p, t = grams(pa.array(texts[i : i + 16], pa.string()))
-            every = np.bincount(p, minlength=len(t))
-            known = ~rare[g]
-            order = np.argsort(p[known], kind="stable")
-            bags.append((g[known][order].astype(np.int32), np.searchsorted(p[known][order], np.arange(len(t) + 1)), t + i, every))
+            every.append(np.bincount(p, minlength=len(t)))
+            text.append(t + i)
+            g, p = number[g], p[number[g] >= 0]
+            g = g[g >= 0][np.argsort(p, kind="stable")]
+            ends.append(ends[-1][-1] + np.cumsum(np.bincount(p, minlength=len(t))))
+            held.append(g)
+        held, ends, text = np.concatenate(held), np.concatenate(ends), np.concatenate(text)
+        every = np.maximum(np.concatenate(every), 1)[:, None]
+        table = rng.normal(0, 0.01, (len(known), SIZE)).astype(np.float32)
+        out = rng.normal(0, 1, (SIZE, 2)).astype(np.float32)
+        bias = np.zeros(2, np.float32)
+        weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())).astype(np.float32)[text][:, None]
+        target = np.eye(2, dtype=np.float32)[labels[text]]
         moment = [[np.zeros_like(w), np.zeros_like(w)] for w in (table, out, bias)]
-        touched = np.zeros(1 << BITS, np.int32)
+        touched = np.zeros(len(known), np.int32)
         step = 0
         for epoch in range(EPOCHS):
             rate = RATE * (1 - epoch / EPOCHS)
-            for k in rng.permutation(len(bags)).tolist():
-                step += 1
-                b, ends, text, every = bags[k]
-                # the most toxic passage of each text stands for it
-                if not len(b):
+            # the most toxic passage of each text stands for it
+            total = np.append(0, np.cumsum(((table * scale) @ (out[:, 1] - out[:, 0]))[held], dtype=np.float64))
+            score = (total[ends[1:]] - total[ends[:-1]]) / every[:, 0]
+            pick = np.lexsort((score, text))
+            pick = rng.permutation(pick[np.append(text[pick][1:] != text[pick][:-1], True)])
+            for a in range(0, len(pick), BATCH):
+                b = pick[a : a + BATCH]
+                n = ends[b + 1] - ends[b]
+                if not n.sum():
                     continue
-                score = np.append(np.zeros(1, np.float32), np.cumsum((table[b] @ (out[:, 1] - out[:, 0])).astype(np.float64)))
-                score = (score[ends[1:]] - score[ends[:-1]]) / np.maximum(every, 1)
-                pick = np.lexsort((score, text))
-                pick = pick[np.append(text[pick][1:] != text[pick][:-1], True)]
-                spans = [np.arange(ends[i], ends[i + 1]) for i in pick]
-                here = np.repeat(np.arange(len(pick)), [len(x) for x in spans])
-                own = b[np.concatenate(spans)]
-                size = np.maximum(every[pick], 1)
-                mean = np.stack([np.bincount(here, table[own, j], len(pick)) for j in range(SIZE)], 1).astype(np.float32) / size[:, None]
+                step += 1
+                own = held[np.repeat(ends[b] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(n.sum())]
+                rows, where = np.unique(own, return_inverse=True)
+                touched[rows] += 1
+                bag = np.bincount(np.repeat(np.arange(len(b)), n) * len(rows) + where, minlength=len(b) * len(rows))
+                bag = bag.reshape(len(b), -1).astype(np.float32) / every[b].astype(np.float32)
+                mean = bag @ (table[rows] * scale[rows])
                 logits = mean @ out + bias
                 p = np.exp(logits - logits.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                y = labels[text[pick]]
-                weight = np.where(y == 1, 0.5 / self.share, 0.5 / (1 - self.share))[:, None]
-                error = (p - np.eye(2, dtype=np.float32)[y]) * weight / len(y)
-                back = ((error @ out.T) / size[:, None])[here]
-                if not len(own):
-                    continue
-                rows, where = np.unique(own, return_inverse=True)
-                g = np.stack([np.bincount(where, back[:, j], len(rows)) for j in range(SIZE)], 1).astype(np.float32)
-                touched[rows] += 1
-                for w, at, grad, (m1, m2) in ((table, rows, g, moment[0]), (out, slice(None), (mean.T @ error).astype(np.float32), moment[1]), (bias, slice(None), error.sum(0).astype(np.float32), moment[2])):
+                error = (p - target[b]) * weight[b] / len(b)
+                back = (bag.T @ (error @ out.T)) * scale[rows] + DECAY * table[rows]
+                for w, at, grad, (m1, m2), t in ((table, rows, back, moment[0], touched[rows][:, None]), (out, slice(None), mean.T @ error, moment[1], step), (bias, slice(None), error.sum(0), moment[2], step)):
                     m1[at] = 0.9 * m1[at] + 0.1 * grad
                     m2[at] = 0.99 * m2[at] + 0.01 * grad**2
-                    t = touched[rows][:, None] if at is rows else step
-                    w[at] *= 1 - rate * (DECAY if w is table else 0)
                     w[at] -= rate * (m1[at] / (1 - 0.9**t)) / (np.sqrt(m2[at] / (1 - 0.99**t)) + 1e-8)
         # for two classes, an embedding acts by one number
-        self.weight = (table @ (out[:, 1] - out[:, 0])).astype(np.float32)
-        self.weight[touched == 0] = 0
+        self.weight = np.zeros(1 << BITS, np.float32)
+        self.weight[known] = (table * scale) @ (out[:, 1] - out[:, 0])
         self.bias = float(bias[1] - bias[0])
 
     def score(self, column: pa.Array) -> np.ndarray:
@@ -162,12 +195,22 @@ class Bags:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> Bags:
-    """From whole texts of at most ``SAMPLE_ROWS`` labelled rows of either class not held out."""
-    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
+    """From whole texts of at most ``SAMPLE_ROWS`` labelled ids of either class not held out, and of
+    at most ``SAMPLE_CHARS`` characters each (longer ones are not in the sample).
+
+    Ids labelled both 0 and 1 are not learned from. An id that documents repeat counts once,
+    with the text of the smallest hash; equal labels that repeat count once.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.groupBy(F.col("doc_id").alias("id")).agg(F.min(F.col(label).cast("int")).alias("y"), F.max(F.col(label).cast("int")).alias("z")).where("y = z")
     first = [rows.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS) for c in (0, 1)]  # each task passes on its first ones
     few = {r.id: r.y for r in first[0].union(first[1]).collect()}
+    if not few:
+        return Bags([], np.zeros(0, np.int64))
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = docs.where(F.col("id").isin([*few])).orderBy(F.xxhash64("id"), "id", "text").limit(4 * SAMPLE_ROWS).collect() if few else []
+    docs = docs.where(F.col("id").isin([*few]) & (F.char_length("text") <= SAMPLE_CHARS))
+    got = docs.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()  # a row for each sampled id
+    got.sort(key=lambda r: r.id)
     return Bags([r.text for r in got], np.array([few[r.id] for r in got], np.int64))
 
 
