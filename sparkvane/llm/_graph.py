@@ -9,13 +9,37 @@ from pyspark.sql import functions as F
 
 from ._spark import materialize
 
+#: A key with more than this share of all rows is hot; there are fewer than ``HUBS`` such keys.
+HUBS = 512
+
+
+def attach(rows: DataFrame, values: DataFrame, on: str | list[str], total: int) -> DataFrame:
+    """``rows`` joined with ``values``: one row per key, with ``n``, how many rows the key has of
+    ``total`` (or more). Hot keys are joined by broadcast, so no task gets all rows of one."""
+    on = [on] if isinstance(on, str) else on
+    limit = total // HUBS
+    hot = F.broadcast(values.where(F.col("n") > limit).drop("n"))  # fewer than HUBS rows
+    cold = values.where(F.col("n") <= limit).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
+def with_sides(pairs: DataFrame, side: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with the columns of ``side(node, ..)`` of either, named ``a_..`` and ``b_..``;
+    ``a`` may be the same node very often."""
+    names = [c for c in side.columns if c != "node"]
+    pairs = materialize(pairs, "pairs")
+    of_a = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    values = of_a.join(side.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names]), "a")
+    both = pairs.join(side.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names]), "b")
+    return attach(both, values, "a", pairs.count())
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``component`` (the smallest node that links reach) of every node in
     ``links(a, b)``, by alternating large and small stars.
 
-    Minima are combined before they are shuffled, so a node with very many links costs no
-    task more than others; each round is a table, and rounds end when the links stand still.
+    Minima are combined before they are shuffled, and those of hubs reach their links by
+    broadcast; each round is a table, and rounds end when the links stand still.
     """
     links = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     links = materialize(links, "links")
@@ -26,38 +50,79 @@ def components(links: DataFrame) -> DataFrame:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v")).distinct()
         seen = now
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "at")
-        large = both.where("v > u").join(least, F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = attach(both.where("v > u"), least, "u", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialize(large, "links")
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "at")
-        small = large.join(least, F.col("u") == F.col("at")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        links = materialize(small.union(least.select("at", "m")).distinct(), "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = attach(large, least, "u", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        links = materialize(small.union(least.select("u", "m")).distinct(), "links")
+
+
+def bucket_members(keys: DataFrame) -> DataFrame:
+    """``key``, ``node``, ``pivot`` (the smallest node of the key) of ``keys(key, node)``, for keys of
+    two nodes or more. ``keys`` is a table: it is read more than once."""
+    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    return materialize(attach(keys, buckets, "key", keys.count()), "members")
+
 
+def remaining(members: DataFrame, found: DataFrame, block: int) -> DataFrame | None:
+    """What pivots leave open: the nodes of a bucket but its pivot, if they are in more than
+    one component of ``found``. ``group``, ``key``, ``node``, ``part`` (component); buckets of more than
+    ``block`` nodes are dealt over blocks, of which each two meet in a group of their own;
+    others share groups. None if there is nothing."""
+    rest = members.where("node != pivot").join(found, "node", "left")
+    rest = materialize(rest.select("key", "node", F.coalesce("component", "node").alias("part")), "rest")
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
+    rest = materialize(attach(rest, sizes.select("key", "n", F.ceil(F.col("n") / block).alias("blocks")), "key", rest.count()), "rest")
+    n = rest.count()
+    if not n:
+        return None
+    dealt = rest.withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shared = F.pmod(F.xxhash64("key"), F.lit(max(1, 2 * n // block)))
+    group = F.when(F.col("blocks") == 1, shared).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+    return dealt.select(group.alias("group"), "key", "node", "part")
 
-def link_buckets(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], pivots: int | None = None) -> DataFrame:
-    """``node``, ``component`` of the nodes that ``verify`` links, of all pairs of nodes that
-    share a key in ``keys(key, node)``; ``verify`` gets and returns ``(a, b)``.
+
+def link_buckets(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], meet: Callable[[DataFrame], DataFrame], block: int) -> DataFrame:
+    """``node``, ``component`` of the nodes that are linked, of all pairs of nodes that share a
+    key in ``keys(key, node)``.
 
     Pairs of a bucket are not listed. First each node meets the smallest node of each of its
-    buckets (or the ``pivots`` of them that most of its buckets share). What these links
-    join needs no more looks within; then nodes of a bucket whose components differ meet.
-    Every pair that shares a bucket is thus linked, in one component already, or refused.
+    buckets: ``verify`` gets and returns ``(a, b)``. What these links join needs no more looks
+    within; what is :func:`remaining` goes to ``meet``, which returns links ``(a, b)`` between
+    the components of a bucket. Every pair that shares a bucket is thus linked, in one
+    component already, or refused.
     """
-    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(keys.join(buckets.drop("n"), "key"), "buckets")
-    first = members.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    if pivots:
-        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "pivot"))), 1, pivots)
-        first = first.groupBy("node").agg(best.alias("best")).select("node", F.explode("best.pivot").alias("pivot"))
-    linked = materialize(verify(first.select(F.col("pivot").alias("a"), F.col("node").alias("b"))), "linked")
-    found = components(linked)
-
-    of = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    parts = of.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    of = materialize(of.join(parts, "key"), "parts")
-    other = of.toDF("key", "other", "other_component")
-    pairs = of.join(other, "key").where((F.col("component") != F.col("other_component")) & (F.col("node") < F.col("other")))
-    pairs = pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    pairs = pairs.join(first.select(F.col("pivot").alias("a"), F.col("node").alias("b")), ["a", "b"], "left_anti")
-    more = verify(pairs)
-    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    members = bucket_members(keys)
+    pairs = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    found = materialize(components(verify(pairs)), "found")
+    rest = remaining(members, found, block)
+    if rest is None:
+        return found
+    return components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(meet(rest)))
+
+
+def least_ids(nodes: DataFrame, found: DataFrame, twice: DataFrame) -> DataFrame:
+    """``node``, ``component_id``: the smallest id that links reach, of every node.
+
+    ``nodes(node, least)`` has each node's smallest id; ``found(node, component)`` comes from links
+    and ``twice(a, b)`` holds nodes that share an id.
+    """
+    found = materialize(found, "found")
+    if not twice.isEmpty():
+        found = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(twice)), "found")
+    of = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return attach(of.select("node", "component"), ids, "component", nodes.count()).select("node", "component_id")
+
+
+def sharing(rows: DataFrame, nodes: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
+    """``(a, b)``: nodes that share an id. ``rows`` has ``id_col`` and the key columns that make a
+    node; ``nodes`` has ``node`` and these. Few ids have more than one node."""
+    several = F.lit(False)
+    for k in keys:
+        several = several | (F.col(f"_low_{k}") < F.col(f"_high_{k}"))
+    twice = rows.groupBy(id_col).agg(*[F.min(k).alias(f"_low_{k}") for k in keys], *[F.max(k).alias(f"_high_{k}") for k in keys]).where(several).select(id_col)
+    pairs = materialize(rows.select(id_col, *keys).join(twice, id_col, "left_semi").distinct().join(nodes.select("node", *keys), keys).select(id_col, "node"), "sharing")
+    first = pairs.groupBy(id_col).agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    return attach(pairs, first, id_col, pairs.count()).where("a != node").select("a", F.col("node").alias("b"))

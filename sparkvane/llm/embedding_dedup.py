@@ -12,6 +12,9 @@ to hold ``PER_FILTER`` unrelated vectors, a vector to be in ``FILTERS`` directio
 each code has a random rotation of its own; with one code alone, one pair in ten of cosine
 0.95 was lost, with eight none of 1,500.
 
+Each vector of a bucket is compared with the bucket's first. Those that this leaves in several
+components are compared with each other by matrix products, in blocks; no pairs are listed.
+
 Degrees are counted within components, where all links are: vectors within half the angle
 of the component's centroid are all linked, which needs no comparison; the others are
 compared with the whole component, in blocks.
@@ -28,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import link_buckets
+from ._graph import attach, least_ids, link_buckets, sharing, with_sides
 from ._spark import materialize, ship
 
 PER_FILTER, FILTERS, CODES = 0.05, 16, 8
-BLOCK = 1024
+BLOCK, MEET = 1024, 512
 #: Numbers that the codes a worker keeps may have, and the scores of one block at a time.
 HELD, SCORES = 1 << 24, 1 << 22
 
@@ -132,7 +135,7 @@ def _centroids(of: DataFrame) -> DataFrame:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, (own, at) = _matrix_by(b), np.unique(b.column("component").to_numpy(), return_inverse=True)
+                x, (own, at) = _padded(b.column("unit"))[0], np.unique(b.column("component").to_numpy(), return_inverse=True)
                 total = np.zeros((len(own), x.shape[1]))
                 np.add.at(total, at, x)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(list(total), pa.list_(pa.float64()))], ["component", "total"])
@@ -142,13 +145,16 @@ def _centroids(of: DataFrame) -> DataFrame:
     return parts.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centre"))
 
 
-def _matrix_by(b: pa.RecordBatch) -> np.ndarray:
-    """Rows of one component have one dimension; shorter vectors are filled with zeros."""
-    rows = b.column("unit").to_pylist()
-    out = np.zeros((len(rows), max(map(len, rows)) // 8))
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, filled up with zeros to one dimension; their own dimensions)."""
+    rows = column.to_pylist()
+    dim = np.array([len(x) // 8 for x in rows], np.int64)
+    if len(rows) and (dim == dim[0]).all():
+        return _matrix(column), dim
+    out = np.zeros((len(rows), dim.max(initial=0)))
     for i, x in enumerate(rows):
-        out[i, : len(x) // 8] = np.frombuffer(x, np.float64)
-    return out
+        out[i, : dim[i]] = np.frombuffer(x, np.float64)
+    return out, dim
 
 
 def _core(of: DataFrame, threshold: float) -> DataFrame:
@@ -166,6 +172,30 @@ def _core(of: DataFrame, threshold: float) -> DataFrame:
     return of.mapInArrow(run, "component long, node long, weight long, unit binary, core boolean")
 
 
+def _meet(t: pa.Table, threshold: float) -> pa.Table:
+    """Links between the components (``part``) of each bucket of a table."""
+    key, node, part = (t[c].to_numpy() for c in ("key", "node", "part"))
+    x, dim = _padded(t["unit"].combine_chunks())
+    order = np.lexsort((node, key))
+    order = order[np.append(True, (np.diff(key[order]) != 0) | (np.diff(node[order]) != 0))[: len(order)]]  # a block that meets itself
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(order)])
+    size = np.diff(np.append(first, len(order)))
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in np.unique(size[size > 1]).tolist():
+        step = max(1, (1 << 20) // (s * max(s, x.shape[1])))
+        buckets = first[size == s]
+        for i in range(0, len(buckets), step):
+            own = order[buckets[i : i + step, None] + np.arange(s)]
+            y, label, d = x[own], part[own], dim[own]
+            hit = (y @ y.transpose(0, 2, 1) >= threshold) & (label[:, :, None] < label[:, None, :]) & (d[:, :, None] == d[:, None, :])
+            at, p, q = np.nonzero(hit)
+            # one link for two components of a bucket is enough
+            _, few = np.unique(np.stack([at, label[at, p], label[at, q]]), axis=1, return_index=True)
+            a.append(node[own[at[few], p[few]]])
+            b.append(node[own[at[few], q[few]]])
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
 def _degrees(of: DataFrame, threshold: float) -> DataFrame:
     """``node``, ``linked``: the weight of the other nodes that a node is linked with.
     ``of``: component, node, weight, unit, of components of two nodes or more."""
@@ -199,38 +229,60 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
 
     Vectors that are null, empty or zero, or have components that are null or not finite,
     link with nothing; so do vectors of different dimensions with each other. Rows that
-    repeat an id count as vectors of their own but share a node. A row without id links with
-    nothing and is kept. Ids are integers. Other columns are not read.
+    repeat an id count as vectors of their own, with links of their own, but are in one
+    component. A row without id links with nothing and is kept. A cosine of exactly
+    ``threshold`` links. Ids are integers. Other columns are not read.
     """
     spark = rows.sparkSession
     ship(spark)
     rows = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding"))
     made = materialize(units(rows).withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit("unit"), F.col("unit"))}), "units")
     valid = made.where(F.col("unit").isNotNull() & F.col("vec_id").isNotNull())
-    # equal vectors are one node
-    equal = valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"))
-    nodes = equal.join(valid.select(F.col("vec_id").alias("node"), "h1", "h2", "unit"), ["node", "h1", "h2"]).dropDuplicates(["node", "h1", "h2"])
-    nodes = materialize(nodes, "nodes")
+    # equal vectors are one node, numbered in a table that later steps read
+    equal = valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("unit").alias("unit"))
+    nodes = materialize(equal.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    units_of = nodes.select("node", "unit")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                cosine = np.array([x @ y if len(x) == len(y) else -1.0 for x, y in ((np.frombuffer(p, np.float64), np.frombuffer(q, np.float64)) for p, q in zip(b.column("ua").to_pylist(), b.column("ub").to_pylist()))])
+                cosine = np.array([x @ y if len(x) == len(y) else -1.0 for x, y in ((np.frombuffer(p, np.float64), np.frombuffer(q, np.float64)) for p, q in zip(b.column("a_unit").to_pylist(), b.column("b_unit").to_pylist()))])
                 yield b.filter(pa.array(cosine >= threshold)).select(["a", "b"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        side = nodes.select("node", "unit")
-        return pairs.join(side.toDF("b", "ub"), "b").join(side.toDF("a", "ua"), "a").mapInArrow(confirm, "a long, b long")
+        return with_sides(pairs, units_of).select("a", "b", "a_unit", "b_unit").mapInArrow(confirm, "a long, b long")
+
+    def run(t: pa.Table) -> pa.Table:
+        return _meet(t, threshold)
 
-    found = link_buckets(_keys(nodes.select("node", "unit"), nodes.count()), verify)
-    found = materialize(found, "found")
+    def meet(rest: DataFrame) -> DataFrame:
+        return rest.join(units_of, "node").groupBy("group").applyInArrow(run, "a long, b long")
+
+    keys = materialize(_keys(units_of, nodes.count()), "keys")  # decoding is not done twice
+    found = materialize(link_buckets(keys, verify, meet, MEET), "found")
     degrees = _degrees(nodes.join(found, "node").select("component", "node", "weight", "unit"), threshold)
-    of = equal.join(found, "node", "left").join(degrees, "node", "left")
-    of = of.select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = made.select("vec_id", "h1", "h2", (F.col("unit").isNotNull() & F.col("vec_id").isNotNull()).alias("ok")).join(of, ["h1", "h2"], "left")
-    out = out.select("vec_id", F.when(F.col("ok"), F.col("n_links")).otherwise(0).alias("n_links"), F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    named = least_ids(nodes.select("node", "least"), found, sharing(valid.select("vec_id", "h1", "h2"), nodes, "vec_id", ["h1", "h2"]))
+    of = nodes.drop("unit").join(named, "node").join(degrees, "node", "left")
+    of = of.select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", F.col("weight").alias("n"))
+    ok = F.col("unit").isNotNull() & F.col("vec_id").isNotNull()
+    out = attach(made.where(ok).select("vec_id", "h1", "h2"), of, ["h1", "h2"], made.count()).select("vec_id", "n_links", "component_id")
+    out = out.unionByName(made.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+SQL = """
+WITH RECURSIVE vector AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+unit AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM vector
+    WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(v, v) > 0),
+link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM unit p JOIN unit q ON p.vec_id <> q.vec_id AND len(p.v) = len(q.v)
+    WHERE list_inner_product(p.v, q.v) / (p.n * q.n) >= 0.95),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM embeddings UNION SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.r),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON e.vec_id = l.id LEFT JOIN degree d ON e.vec_id = d.a
+"""
