@@ -17,4 +17,10 @@ QUERIES = {
     "op10_packing": packing.query,
 }
 
-SQL = {"op6_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL}
+SQL = {
+    "op1_embedding_dedup": embedding_dedup.SQL,
+    "op6_line_dedup": line_dedup.SQL,
+    "op7_minhash_dedup": minhash_dedup.SQL,
+    "op8_license_scan": license_scan.SQL,
+    "op9_decontaminate": decontaminate.SQL,
+}
