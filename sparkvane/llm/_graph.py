@@ -4,23 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import materialize
 
-#: A key with more than this share of all rows is hot; there are fewer than ``HUBS`` such keys.
-HUBS = 512
+#: A key with more than ``1/HUBS`` of all rows, and ``HOT_ROWS``, is hot; there are fewer than ``HUBS``.
+HUBS, HOT_ROWS = 512, 500
 
 
-def attach(rows: DataFrame, values: DataFrame, on: str | list[str], total: int) -> DataFrame:
-    """``rows`` joined with ``values``: one row per key, with ``n``, how many rows the key has of
-    ``total`` (or more). Hot keys are joined by broadcast, so no task gets all rows of one."""
+def _hot(key: str) -> Column:
+    return F.expr(f"approx_top_k({key}, {2 * HUBS}, {32 * HUBS})")
+
+
+def hot_keys(rows: DataFrame, key: str) -> tuple[int, list[int]]:
+    """(number of rows, hot values of an integer column), by a mergeable heavy-hitter sketch; its
+    error only steers where rows go."""
+    n, top = rows.agg(F.count("*"), _hot(key)).first()
+    return n, _hottest(n, top)
+
+
+def _hottest(n: int, top: list | None) -> list[int]:
+    return [r.item for r in top or [] if r.item is not None and r["count"] > max(HOT_ROWS, n // HUBS)]
+
+
+def attach(rows: DataFrame, values: DataFrame, on: str | list[str], hot: list[int]) -> DataFrame:
+    """``rows`` joined with ``values``, which has one row per key. Keys whose first column is in
+    ``hot`` are joined by broadcast, so no task gets all rows of one."""
     on = [on] if isinstance(on, str) else on
-    limit = total // HUBS
-    hot = F.broadcast(values.where(F.col("n") > limit).drop("n"))  # fewer than HUBS rows
-    cold = values.where(F.col("n") <= limit).drop("n")
-    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+    if not hot:
+        return rows.join(values, on)
+    is_hot = F.col(on[0]).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(values.where(is_hot)), on).unionByName(rows.where(~is_hot).join(values.where(~is_hot), on))
 
 
 def with_sides(pairs: DataFrame, side: DataFrame) -> DataFrame:
@@ -28,10 +43,9 @@ def with_sides(pairs: DataFrame, side: DataFrame) -> DataFrame:
     ``a`` may be the same node very often."""
     names = [c for c in side.columns if c != "node"]
     pairs = materialize(pairs, "pairs")
-    of_a = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    values = of_a.join(side.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names]), "a")
-    both = pairs.join(side.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names]), "b")
-    return attach(both, values, "a", pairs.count())
+    _, hot = hot_keys(pairs, "a")
+    of_a, of_b = (side.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in names]) for x in "ab")
+    return attach(pairs.join(of_b, "b"), of_a, "a", hot)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -45,24 +59,25 @@ def components(links: DataFrame) -> DataFrame:
     links = materialize(links, "links")
     seen = None
     while True:
-        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        both = links.union(links.select("v", "u"))
+        *now, top = both.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long")), _hot("u")).first()
         if now == seen or not now[0]:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select("v", "v")).distinct()
-        seen = now
-        both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = attach(both.where("v > u"), least, "u", 2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        seen, hot = now, _hottest(now[0], top)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = attach(both.where("v > u"), least, "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialize(large, "links")
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = attach(large, least, "u", now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+        # a node has no more rows here than before
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = attach(large, least, "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         links = materialize(small.union(least.select("u", "m")).distinct(), "links")
 
 
 def bucket_members(keys: DataFrame) -> DataFrame:
     """``key``, ``node``, ``pivot`` (the smallest node of the key) of ``keys(key, node)``, for keys of
     two nodes or more. ``keys`` is a table: it is read more than once."""
-    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    return materialize(attach(keys, buckets, "key", keys.count()), "members")
+    buckets = keys.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return materialize(attach(keys, buckets, "key", hot_keys(keys, "key")[1]), "members")
 
 
 def remaining(members: DataFrame, found: DataFrame, block: int) -> DataFrame | None:
@@ -73,7 +88,7 @@ def remaining(members: DataFrame, found: DataFrame, block: int) -> DataFrame | N
     rest = members.where("node != pivot").join(found, "node", "left")
     rest = materialize(rest.select("key", "node", F.coalesce("component", "node").alias("part")), "rest")
     sizes = rest.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    rest = materialize(attach(rest, sizes.select("key", "n", F.ceil(F.col("n") / block).alias("blocks")), "key", rest.count()), "rest")
+    rest = materialize(attach(rest, sizes.select("key", F.ceil(F.col("n") / block).alias("blocks")), "key", hot_keys(rest, "key")[1]), "rest")
     n = rest.count()
     if not n:
         return None
@@ -112,8 +127,8 @@ def least_ids(nodes: DataFrame, found: DataFrame, twice: DataFrame) -> DataFrame
     if not twice.isEmpty():
         found = materialize(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(twice)), "found")
     of = nodes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
-    ids = of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    return attach(of.select("node", "component"), ids, "component", nodes.count()).select("node", "component_id")
+    ids = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return attach(of.select("node", "component"), ids, "component", hot_keys(found, "component")[1]).select("node", "component_id")
 
 
 def sharing(rows: DataFrame, nodes: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
@@ -124,5 +139,5 @@ def sharing(rows: DataFrame, nodes: DataFrame, id_col: str, keys: list[str]) ->
         several = several | (F.col(f"_low_{k}") < F.col(f"_high_{k}"))
     twice = rows.groupBy(id_col).agg(*[F.min(k).alias(f"_low_{k}") for k in keys], *[F.max(k).alias(f"_high_{k}") for k in keys]).where(several).select(id_col)
     pairs = materialize(rows.select(id_col, *keys).join(twice, id_col, "left_semi").distinct().join(nodes.select("node", *keys), keys).select(id_col, "node"), "sharing")
-    first = pairs.groupBy(id_col).agg(F.min("node").alias("a"), F.count("*").alias("n"))
-    return attach(pairs, first, id_col, pairs.count()).where("a != node").select("a", F.col("node").alias("b"))
+    first = pairs.groupBy(id_col).agg(F.min("node").alias("a"))
+    return attach(pairs, first, id_col, hot_keys(pairs, id_col)[1]).where("a != node").select("a", F.col("node").alias("b"))

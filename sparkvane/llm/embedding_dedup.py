@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import attach, least_ids, link_buckets, sharing, with_sides
+from ._graph import attach, hot_keys, least_ids, link_buckets, sharing, with_sides
 from ._spark import materialize, ship
 
 PER_FILTER, FILTERS, CODES = 0.05, 16, 8
@@ -263,9 +263,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     degrees = _degrees(nodes.join(found, "node").select("component", "node", "weight", "unit"), threshold)
     named = least_ids(nodes.select("node", "least"), found, sharing(valid.select("vec_id", "h1", "h2"), nodes, "vec_id", ["h1", "h2"]))
     of = nodes.drop("unit").join(named, "node").join(degrees, "node", "left")
-    of = of.select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", F.col("weight").alias("n"))
+    of = of.select("h1", "h2", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id")
     ok = F.col("unit").isNotNull() & F.col("vec_id").isNotNull()
-    out = attach(made.where(ok).select("vec_id", "h1", "h2"), of, ["h1", "h2"], made.count()).select("vec_id", "n_links", "component_id")
+    out = attach(made.where(ok).select("vec_id", "h1", "h2"), of, ["h1", "h2"], hot_keys(valid, "h1")[1]).select("vec_id", "n_links", "component_id")
     out = out.unionByName(made.where(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
