@@ -4,8 +4,8 @@ Labelled text of each language becomes a suffix automaton. A text is parsed gree
 longest phrases that occur in a language's text; the language needing the fewest phrases,
 each weighed by the logarithm of the length of what it can point into, wins. The automata
 are completed to tables (on a mismatch the phrase ends and the next one begins with the
-character), so all texts and languages are parsed in step with array look-ups. A text is
-parsed in spans of ``SPAN`` characters, which adds at most one phrase a span to each language.
+character), so all texts and languages are parsed in step with array look-ups. Long texts
+are parsed in lanes of ``SPAN`` characters, whose parses are joined to that of the whole text.
 """
 
 from __future__ import annotations
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _scan, _text
 from ._spark import carried, ship
 
 #: Labelled rows a language that are looked at, and the characters of text that are learned.
 SAMPLE_ROWS, SAMPLE_CHARS = 64, 20_000
 SPAN = 1024
+#: Languages that may be learned; more are an error (each costs up to 10 MB in every worker).
+LANGUAGES = 500
 _OTHER, _GAP = 0, 1  # letters that no language has; everything that is no letter
 
 
@@ -111,23 +113,28 @@ class Model:
         letters = np.append(0, np.cumsum(letter))[first]
         s, first = s[keep], total[first]
         n = np.diff(first)
-        # lanes of at most SPAN symbols, the long ones first
         lanes = -(-n // SPAN)
         doc = np.repeat(np.arange(len(n)), lanes)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         begin = first[doc] + nth * SPAN
         length = np.minimum(n[doc] - nth * SPAN, SPAN)
-        order = np.argsort(-length, kind="stable")
-        doc, begin, length = doc[order], begin[order], length[order]
-        count = np.zeros((len(self.languages), len(doc)), np.int32)
-        state = np.repeat(np.array(self.roots, np.int32)[:, None], len(doc), 1)
-        active = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
-        for t, m in enumerate(active.tolist()):
-            got = self.table[state[:, :m] * self.width + s[begin[:m] + t]]
-            count[:, :m] += got & 1
-            state[:, :m] = got >> 1
-        out = np.zeros((len(n), len(self.languages)), np.int64)
-        np.add.at(out, doc, count.T + 1)
+        out = np.ones((len(n), len(self.languages)), np.int64)  # the last phrase is open
+
+        def step(state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            got = self.table[state * self.width + s[place]]
+            return got >> 1, got & 1
+
+        for i in range(0, len(self.languages), 8):
+            root = np.array(self.roots[i : i + 8], np.int64)
+            last = root
+            for a, b in _scan.groups(length):
+                follows = nth[a:b] > 0
+                init = np.repeat(root[:, None], b - a, 1)
+                if follows[0]:
+                    follows[0], init[:, 0] = False, last
+                count, state = _scan.scan(step, root, init, begin[a:b], length[a:b], follows)
+                np.add.at(out, (doc[a:b, None], i + np.arange(len(root))), count.T)
+                last = state[:, -1]
         return out, np.diff(letters)
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -164,13 +171,22 @@ def pieces(texts: list[tuple[int, str]]) -> list[str]:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model of at most ``SAMPLE_ROWS`` rows a language (those whose ids have the smallest
     hashes) of rows not held out, up to ``SAMPLE_CHARS`` characters a language: short texts whole,
-    and of each longer one a piece of equal length, from a place that the id's hash gives."""
+    and of each longer one a piece of equal length, from a place that the id's hash gives. An id that
+    repeats counts once, with the text of the smallest hash. More than ``LANGUAGES`` languages
+    are an error."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     nth = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col))
     few = rows.select(id_col, lang_col).withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS).select(id_col)
-    ids = [r[0] for r in few.distinct().collect()]  # at most SAMPLE_ROWS a language
+    picked = few.distinct().limit(LANGUAGES * SAMPLE_ROWS + 1).collect()
+    if len(picked) > LANGUAGES * SAMPLE_ROWS:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    if not picked:
+        return Model({})
+    # one text for each language and id, that of the smallest hash
+    rows = rows.where(F.col(id_col).isin([r[0] for r in picked])).select(F.col(lang_col).alias("l"), F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    rows = rows.groupBy("l", "i").agg(F.min_by("t", F.xxhash64("t")).alias("t")).select("l", "i", "t", F.xxhash64("i").alias("h"))
     texts: dict[str, list[tuple[int, str]]] = {}
-    for r in rows.where(F.col(id_col).isin(ids)).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).orderBy("h", "i", "t").collect():
+    for r in rows.orderBy("h", "i").collect():
         texts.setdefault(r.l, []).append((r.h, normal(r.t)))
     return Model({k: " ".join(pieces(v)) for k, v in texts.items() if any(t for _, t in v)})
 

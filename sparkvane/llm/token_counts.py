@@ -7,10 +7,10 @@ on a bounded suffix only, so a deterministic transducer reads the text once; a t
 carries how the number of tokens changes. Transitions are compiled when first needed and
 kept per worker, in a table of bounded size.
 
-No piece goes on after a word, so at each word's first space the transducer is in its start
-state. A text is cut there into chunks. What a chunk does to the state is then a
-constant map, and the scan that composes chunk maps is a prefix sum of their counts; all
-chunks of a batch run in step with array look-ups.
+Texts are cut into chunks that run in step with array look-ups. No piece goes on after a word,
+so at a word's first space the transducer is in its start state, and what a chunk that ends
+there does to the state is a constant map. A chunk without such a place is cut anywhere; the
+state maps of these chunks compose as :mod:`._scan` says.
 """
 
 from __future__ import annotations
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _scan, _text
 from ._spark import ship
 
 MARK = "▁"
-#: Least characters of a chunk (if the text has a place to cut), and states that a worker keeps.
-CHUNK, STATES = 256, 300_000
+#: Least characters of a chunk that ends before a word, most of any, and states, transitions,
+#: pieces and pairs of pieces that a worker keeps (and as many more as one segment adds).
+CHUNK, MOST, STATES = 256, 1024, 300_000
 _SLOTS = 21
 _BIAS = 1 << 20
 
@@ -44,11 +45,11 @@ class Transducer:
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("pieces that go on after a word can't be cut at spaces")
         self.prefixes = {p[:i] for p in self.score for i in range(1, len(p))}
-        self.whole: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
         self.clear()
 
     def clear(self) -> None:
+        self.whole: dict[str, bool] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.states: list[tuple] = [((), None)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
         self.known: dict[int, int] = {}
@@ -91,13 +92,24 @@ class Transducer:
                 return (tuple((s, b, x - more) for s, b, x in grown if s in self.prefixes), piece), more
         return self.states[0], len(char.encode())  # byte fallback; nothing merges with it
 
+    def _bound(self, last: int) -> int:
+        """Forgets what is compiled if it is much, but for one state; its number."""
+        if max(len(self.states), len(self.known) // 4, len(self.whole), len(self.pairs)) <= STATES:
+            return last
+        state = self.states[last]
+        self.clear()
+        return self._number(state)
+
+    def _number(self, state: tuple) -> int:
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+        return self.number[state]
+
     def _compile(self, key: int) -> int:
         if key not in self.known:
             state, more = self.step(self.states[key >> 21], chr(key & 0x1FFFFF))
-            if state not in self.number:
-                self.number[state] = len(self.states)
-                self.states.append(state)
-            self.known[key] = self.number[state] << 21 | (more + _BIAS)
+            self.known[key] = self._number(state) << 21 | (more + _BIAS)
         return self.known[key]
 
     def _look_up(self, key: np.ndarray) -> np.ndarray:
@@ -121,33 +133,39 @@ class Transducer:
 
     def count(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text."""
-        if len(self.states) > STATES:
-            self.clear()
         data, offsets = _text.buffers(column)
-        c = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+        c = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         first = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
         full = np.flatnonzero(np.diff(first))
-        c[c == 32] = ord(MARK)
-        c = np.insert(c, first[:-1][full], ord(MARK))  # the model's dummy prefix
-        begin = first[:-1][full] + np.arange(len(full))
         out = np.zeros(len(column), np.int64)
         if not len(full):
             return out
+        c = np.insert(np.where(c == 32, np.uint32(ord(MARK)), c), first[:-1][full], ord(MARK))  # the model's dummy prefix
+        text = first[:-1][full] + np.arange(len(full))
         cut = c == ord(MARK)
         cut[1:] &= c[:-1] != ord(MARK)
         cut = np.flatnonzero(cut)
         cut = cut[np.append(True, np.diff(cut // CHUNK) > 0)]
-        start = np.union1d(cut, begin)
+        start = np.union1d(cut, text)
         length = np.diff(np.append(start, len(c)))
-        order = np.argsort(-length, kind="stable")
-        start, length = start[order], length[order]
-        state, total = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-        active = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
-        for t, m in enumerate(active.tolist()):
-            got = self._look_up(state[:m] << 21 | c[start[:m] + t])
-            total[:m] += (got & 0x1FFFFF) - _BIAS
-            state[:m] = got >> 21
-        np.add.at(out, full[np.searchsorted(begin, start, "right") - 1], total)
+        parts = -(-length // MOST)
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.repeat(start, parts) + nth * MOST
+        length = np.minimum(np.repeat(length, parts) - nth * MOST, MOST)
+
+        def step(state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            got = self._look_up((state << 21 | c[place].astype(np.int64)).ravel()).reshape(state.shape)
+            return got >> 21, (got & 0x1FFFFF) - _BIAS
+
+        last, root = 0, np.zeros(1, np.int64)
+        for a, b in _scan.groups(length):
+            last = self._bound(last)
+            follows, init = nth[a:b] > 0, np.zeros((1, b - a), np.int64)
+            if follows[0]:
+                follows[0], init[0, 0] = False, last
+            total, state = _scan.scan(step, root, init, start[a:b], length[a:b], follows)
+            np.add.at(out, full[np.searchsorted(text, start[a:b], "right") - 1], total[0])
+            last = int(state[0, -1])
         return out
 
 
