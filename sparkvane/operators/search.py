@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkvane.functions.distance import Metric, distance
 from sparkvane.plans.filters import Filter
@@ -22,15 +23,27 @@ class DimensionError(ValueError):
 
 def top_k(base: DataFrame, query: Sequence[float], k: int = 10, metric: Metric | str = Metric.L2, where: Filter | None = None,
           id_col: str = "id", vector_col: str = "vector", dim: int | None = None) -> DataFrame:
-    """``(id, distance)`` of the ``k`` records nearest to one query; all for a larger ``k``."""
+    """``(id, distance)`` of the ``k`` records nearest to one query; all for a larger ``k``.
+
+    Records without a vector, or whose vector has null components, are not found. A record of
+    another dimension than the query is an error.
+    """
     if dim is not None and len(query) != dim:
         raise DimensionError(f"the query has {len(query)} dimensions, not {dim}")
     q = F.array(*[F.lit(float(x)) for x in query])
-    rows = where.apply(base) if where else base
+    rows = sound(where.apply(base) if where else base, vector_col, len(query))
     rows = rows.select(F.col(id_col).alias("id"), distance(metric, F.col(vector_col), q).alias("distance"))
     return rows.orderBy("distance", "id").limit(k)
 
 
+def sound(base: DataFrame, vector_col: str, dim: int) -> DataFrame:
+    """Records with a vector of ``dim`` components, none null. Other dimensions raise when they are read."""
+    v = F.col(vector_col)
+    wrong = F.raise_error(F.concat(F.lit(f"DimensionError: queries have {dim} dimensions, a record "), F.size(v).cast("string")))
+    fits = F.when(F.size(v) == dim, ~F.exists(v, lambda x: x.isNull())).otherwise(wrong.cast("boolean"))
+    return base.where(v.isNotNull() & F.when(v.isNotNull(), fits).otherwise(False))
+
+
 def allowed(base: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Records whose id is in ``ids``."""
     return base.join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_semi")
@@ -65,39 +78,65 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.where(n > 0, x / np.where(n > 0, n, 1), x)
 
 
+def matrix_of(column: pa.Array, dim: int | None = None) -> np.ndarray:
+    """A list column without nulls as a matrix; rows of different lengths are an error."""
+    size = np.diff(column.offsets.to_numpy())
+    dim = int(size[0]) if dim is None and len(size) else dim or 0
+    if (size != dim).any():
+        raise DimensionError(f"queries have {dim} dimensions, a record {size[size != dim][0]}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+
+def _blocks(asked: DataFrame, kind) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """(ids, matrix) of at most ``QUERY_BLOCK`` queries at a time; a partition of queries is the most the
+    driver holds besides."""
+    held: list = []
+    for row in asked.toLocalIterator():
+        held.append(row)
+        if len(held) == QUERY_BLOCK:
+            yield _block(held, kind)
+            held = []
+    if held:
+        yield _block(held, kind)
+
+
+def _block(held: list, kind) -> tuple[pa.Array, np.ndarray]:
+    dim = len(held[0][1])
+    for _, q in held:
+        if len(q) != dim:
+            raise DimensionError(f"queries have {dim} and {len(q)} dimensions")
+    return pa.array([r[0] for r in held], to_arrow_type(kind)), np.array([r[1] for r in held], np.float64)
+
+
 def knn_batch(base: DataFrame, queries: DataFrame, k: int = 10, metric: Metric | str = Metric.L2, id_col: str = "id", vector_col: str = "vector", qid_col: str = "qid", query_col: str = "query") -> DataFrame:
     """``(qid, id, distance, rank)`` for every query.
 
-    Queries are broadcast in blocks of bounded size; each task multiplies its rows with a
-    block and passes on at most ``k`` rows (and ties of rounding) a query, so what is shuffled does
-    not grow with the base's rows but with its partitions.
+    Queries are broadcast in blocks of bounded size, one after the other as the driver reads
+    them; each task multiplies its rows with a block and passes on at most ``k`` rows (and ties of
+    rounding) a query, so what is shuffled does not grow with the base's rows but with its
+    partitions. Queries and records without a vector or with null components are not
+    matched; two dimensions are an error.
     """
     metric = Metric(metric)
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    qid_type = queries.schema[qid_col].dataType
+    asked = queries.select(F.col(qid_col).alias("qid"), F.col(query_col).cast("array<double>").alias("query"))
+    asked = asked.where(F.col("query").isNotNull() & ~F.exists("query", lambda x: x.isNull()))
     rows = base.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    found = None
-    for i in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == i) if blocks > 1 else queries
-        got = part.select(F.col(qid_col), F.col(query_col).cast("array<double>")).collect()
-        if not got and blocks > 1:
-            continue
-        ids = [r[0] for r in got]
-        matrix = np.array([r[1] for r in got], np.float64)
-        shared = base.sparkSession.sparkContext.broadcast((ids, unit(matrix) if metric is Metric.COSINE and len(got) else matrix))
+    rows = rows.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
+    schema = f"qid {qid_type.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double"
+    found = base.sparkSession.createDataFrame([], schema)
+    for ids, matrix in _blocks(asked, qid_type):
+        shared = base.sparkSession.sparkContext.broadcast((ids, unit(matrix) if metric is Metric.COSINE else matrix))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            if not len(ids) or k <= 0:
+            if k <= 0:
                 return
             square = (q * q).sum(1)
             for b in batches:
                 for a in range(0, b.num_rows, 4096):
                     own = b.slice(a, 4096)
-                    flat = own.column("vector").flatten().to_numpy(zero_copy_only=False)
-                    x = flat.reshape(own.num_rows, -1)
-                    if x.shape[1] != q.shape[1]:
-                        raise DimensionError(f"queries have {q.shape[1]} dimensions, records {x.shape[1]}")
+                    x = matrix_of(own.column("vector"), q.shape[1])
                     x = unit(x) if metric is Metric.COSINE else x
                     near = -(x @ q.T)
                     if metric is Metric.L2:
@@ -106,8 +145,7 @@ def knn_batch(base: DataFrame, queries: DataFrame, k: int = 10, metric: Metric |
                     limit = np.partition(near, m - 1, axis=0)[m - 1] + 1e-9 * (1 + np.abs(near).max())
                     row, query = np.nonzero(near <= limit)
                     far = ((x[row] - q[query]) ** 2).sum(1) if metric is Metric.L2 else -(x[row] * q[query]).sum(1) + 0.0
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[j] for j in query.tolist()], pa.int64()), own.column("id").take(pa.array(row)), pa.array(far)], ["qid", "id", "distance"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), own.column("id").take(pa.array(row)), pa.array(far)], ["qid", "id", "distance"])
 
-        part = rows.mapInArrow(scan, f"qid long, id {rows.schema['id'].dataType.simpleString()}, distance double")
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(rows.mapInArrow(scan, schema))
     return ranked(found, k)

@@ -1,4 +1,9 @@
 import json
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -15,6 +20,7 @@ from sparkvane.sources import vectors
 from sparkvane.streaming import store
 
 DATA = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[1]
 
 
 def vecs(spark, n, dim, seed=42):
@@ -51,6 +57,26 @@ def test_ties_edges_and_dimension(spark):
         search.top_k(df, [1.0, 2.0], 1, dim=1)
 
 
+def test_null_and_ragged_vectors(spark):
+    df = spark.createDataFrame([(1, [5.0]), (2, None), (3, [None]), (4, [1.0])], "id long, vector array<double>")
+    assert [r.id for r in search.top_k(df, [0.0], 3).collect()] == [4, 1]
+    one = spark.createDataFrame([("q", [0.0]), ("none", None)], "qid string, query array<double>")
+    assert [(r.qid, r.id) for r in search.knn_batch(df, one, 3).orderBy("rank").collect()] == [("q", 4), ("q", 1)]
+    ragged = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0, 9.0])], "id long, vector array<double>").coalesce(1)
+    two = spark.createDataFrame([(0, [1.0, 2.0])], "qid long, query array<double>")
+    for found in (search.knn_batch(ragged, two, 2), search.top_k(ragged, [1.0, 2.0], 2)):
+        with pytest.raises(Exception, match="DimensionError"):
+            found.collect()
+    assert search.knn_batch(df, two.limit(0), 2).collect() == []
+
+
+def test_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    df, x = vecs(spark, 40, 4)
+    got = search.knn_batch(df, df.toDF("qid", "query"), 1).collect()
+    assert sorted((r.qid, r.id) for r in got) == [(i, i) for i in range(40)]
+
+
 def test_filter_truth_table(spark):
     rows = ['{"x":3}', '{"x":3.0}', '{"x":"3"}', '{"x":true}', "{}", None, '{"a.b":1}', '{"x":null}', '{"x":-0.0}']
     df = spark.createDataFrame(list(enumerate(rows)), "id int, m string").select("id", F.try_parse_json("m").alias("metadata"))
@@ -187,6 +213,22 @@ def test_stream(spark, tmp_path):
     assert sorted((r.id, r.vector[0]) for r in c.live().collect()) == [(1, 3.0), (2, 2.0)]
 
 
+def test_entry_without_the_corpus_operators(tmp_path):
+    """Without the corpus folders, or these and the pipeline, the other queries are there."""
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.engine.QUERIES), set(e.oracle_sql()) <= set(e.queries()))"
+    for gone in (("sparkvane/llm",), ("sparkvane/llm", "corpus_pipeline.py"), ("sparkvane/llm/*.py",)):
+        place = tmp_path / str(len(list(tmp_path.iterdir())))
+        place.mkdir()
+        for name in ("__spark_entry__.py", "corpus_pipeline.py", "sparkvane"):
+            if (ROOT / name).exists():
+                (shutil.copytree if (ROOT / name).is_dir() else shutil.copy)(ROOT / name, place / name)
+        for name in gone:
+            for x in place.glob(name):
+                shutil.rmtree(x) if x.is_dir() else x.unlink()
+        out = subprocess.run([sys.executable, "-c", code], cwd=place, env=os.environ | {"PYTHONPATH": str(place)}, capture_output=True, text=True)
+        assert out.stdout.split() == ["True", "True"], out.stderr
+
+
 def test_entry_and_names(spark):
     assert entry.entry(spark).count() == 200
     assert set(entry.oracle_sql()) <= set(entry.queries())
