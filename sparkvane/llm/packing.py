@@ -4,7 +4,8 @@ Documents become token ids (and a closing id 0) and are cut into pieces of at mo
 sequence. The histogram of piece lengths (at most ``size`` entries) goes to the driver, where
 lengths are placed from long to short, each on the shortest packs it fits, as counts of
 packing patterns. Pieces then find their places in the patterns by their rank among those
-of equal length.
+of equal length: each task numbers its pieces by length as it cuts them, and the numbers of
+pieces of earlier tasks are added, so no pieces are sorted or gathered by length.
 
 Token ids are those of the ``tokenizers`` library. A text is split by the library's rules with
 array operations, and each distinct part is encoded once per worker and kept in a bounded
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +33,6 @@ _OTHER, _LETTER, _DIGIT, _SPACE, _ODD = range(5)
 _WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Parts that a worker keeps.
 CACHE = 400_000
-#: Buckets by which ranks are counted.
-RANK_BUCKETS = 256
 
 
 def _classes() -> np.ndarray:
@@ -145,6 +145,8 @@ class Encoder:
                 if self.used + len(x) > len(self.ids):
                     self.ids = np.concatenate([self.ids, np.zeros(max(len(x), len(self.ids)), np.uint32)])
                 self.ids[self.used : self.used + len(x)] = x
+                if len(x) >> 24:
+                    raise ValueError("a part of 2**24 ids or more")
                 known[i] = self.used << 24 | len(x)
                 self.used += len(x)
             got = np.array([known[x] for x in own.tolist()], np.int64)
@@ -164,10 +166,13 @@ def encoder(path: str) -> Encoder:
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, keep_ids: bool = False) -> DataFrame:
     """``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens`` and, if asked for, ``ids`` (as
-    little-endian unsigned 32-bit integers) of each piece of at most ``size`` ids."""
+    little-endian unsigned 32-bit integers) of each piece of at most ``size`` ids; ``task``, which
+    cut it, and ``nth``, its number from 0 among the task's pieces of this length. To be written
+    before it is used: numbers hold for one run of the tasks."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, numbers = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in (s for b in batches for s in _text.slices(b, "text")):
             if not batch.num_rows:
                 continue
@@ -185,10 +190,15 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, keep_ids: bool = False) -
                     tokens.append(n)
                     raw.append(part)
             out = [batch.column("doc_id").take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens))]
+            nth = []
+            for x in length:
+                nth.append(numbers[x])
+                numbers[x] += 1
+            out += [pa.array(np.full(len(doc), task, np.int32)), pa.array(nth, pa.int64())]
             out += [pa.array(raw, pa.binary())] if keep_ids else []
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(out)])
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "nth", "ids"][: len(out)])
 
-    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids binary" if keep_ids else "")
+    schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, task int, nth long" + (", ids binary" if keep_ids else "")
     return docs.mapInArrow(run, schema)
 
 
@@ -213,7 +223,12 @@ def patterns(histogram: dict[int, int], size: int) -> list[tuple[tuple[int, ...]
 
 
 def _layout(histogram: dict[int, int], size: int) -> tuple[np.ndarray, ...]:
-    """For each (length, pattern): the first rank, copies in a pack, first sequence, offset."""
+    """For each (length, pattern): the first rank, copies in a pack, first sequence, offset.
+
+    A step of the placing either ends a length or replaces a pattern, so there are at most ``size``
+    patterns; one has fewer than ``sqrt(2 * size)`` distinct lengths. For 1024, this is at most
+    46,000 rows or 2 MB.
+    """
     used: dict[int, int] = {}
     rows, base = [], 0
     for lengths, n in patterns(histogram, size):
@@ -233,22 +248,21 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """One row per piece: ``doc_id``, ``start`` (ids of its document before it), ``length``,
     ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset`` (its place there) and, if asked for,
     ``ids``. Null or empty text is the closing id alone. Equal rows are packed apart. Other
-    columns are not read. ``tokenizer`` is the path of a ``tokenizers`` file on every executor.
+    columns are not read. A run of letters or the like of 2**24 ids or more is an error.
+    ``tokenizer`` is the path of a ``tokenizers`` file on every executor.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     cut = materialize(pieces(docs, tokenizer, size, keep_ids), "pieces")
-    histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``size`` rows
+    counts = materialize(cut.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
+    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``size`` rows
     layout = spark.sparkContext.broadcast(_layout(histogram, size))
 
-    # ranks among equal lengths: within buckets of documents, after those of earlier buckets
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_BUCKETS)))
-    counts = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
-    counts = counts.select("length", "bucket", before.alias("before"))  # at most size * RANK_BUCKETS rows
-    rows = cut.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")))
-    rows = rows.join(F.broadcast(counts), ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth") - 1)
+    # ranks among equal lengths: the task's own number after those of earlier tasks
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")
+    counts = counts.select("length", "task", before.alias("before"))  # a row for each task and length; Spark joins it as its size asks
+    rows = cut.join(counts, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if keep_ids else [])]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
