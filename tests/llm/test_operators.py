@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from sparkvane.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, quality, token_counts, toxicity
+from sparkvane.llm import _graph, _scan, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, quality, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
 LONG = "a shared line that is certainly longer than forty characters"
@@ -60,7 +60,11 @@ def test_leaks(spark, odd, rows, tables):
         got = {(r.doc_id, r.n_words, str(r["items"])) for r in decontaminate.find_leaks(odd, few, broadcast_bytes=limit).collect()}
         assert (3, 1, "['1']") in got and (None, 0, "[]") in got and len(got) == len(ODD) - 1
         assert decontaminate.find_leaks(odd.limit(0), few, broadcast_bytes=limit).count() == 0
-    assert decontaminate.find_leaks(odd, few.limit(0)).count() == len(ODD)
+    assert decontaminate.find_leaks(odd, few.limit(0)).count() == len(ODD) and decontaminate.find_leaks(odd, few.limit(0), broadcast_bytes=-1).count() == len(ODD)
+    # both ways, with all they return, also with items that share an id
+    both = tables["benchmark"].union(few).union(few.selectExpr("item_id", "upper(text)"))
+    one, other = (tuples(decontaminate.find_leaks(tables["documents"].union(tables["documents"].limit(3)), both, keep_text=True, broadcast_bytes=x)) for x in (1 << 26, 0))
+    assert one == other and any(r[2] for r in one)
     kept = {r.doc_id: r.text for r in decontaminate.decontaminate(spark.createDataFrame([(1, "one " + "w " * 99), (2, "one two")], "doc_id long, text string"), few).collect()}
     assert list(kept) == [1] and "one" not in kept[1]
 
@@ -72,6 +76,64 @@ def test_near_copies(spark, odd, rows):
     assert minhash_dedup.near_copies(odd.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    near = b.replace("b30", "other")
+    docs = spark.createDataFrame([(1, a), (1, b), (1, b), (5, near), (7, a), (9, "else")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash_dedup.near_copies(docs, k=2).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (7, 1, False), (9, 9, True)}
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = spark.createDataFrame([(1, x), (1, y), (1, y), (5, [0.0, 1.0, 0.1]), (7, x), (9, [0.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = tuples(embedding_dedup.near_vectors(rows))
+    assert got == sorted([(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (5, 2, 1, False), (7, 1, 1, False), (9, 0, 9, True)], key=repr)
+
+
+def test_threshold_is_exact(spark):
+    words = [f"w{i}" for i in range(400)]
+    docs = []
+    for i, cut in enumerate((90, 80, 81, 79)):  # sets of cut of 100 words in common, one word a shingle
+        own = words[100 * i : 100 * i + 100] if i < 3 else [f"v{j}" for j in range(100)]
+        docs += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[:cut]))]
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), k=1).collect()}
+    assert [got[2 * i + 1] == 2 * i for i in range(4)] == [True, True, True, False]
+    cosines = (1.0, 0.9501, 0.9499, -1.0)
+    rows = [(10 * i + j, v) for i, c in enumerate(cosines) for j, v in enumerate((np.eye(8)[2 * i].tolist(), (c * np.eye(8)[2 * i] + np.sqrt(1 - c * c) * np.eye(8)[2 * i + 1]).tolist()))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 10: (1, 10), 11: (1, 10), 20: (0, 20), 21: (0, 21), 30: (0, 30), 31: (0, 31)}
+
+
+@pytest.mark.parametrize("hubs", [(512, 500), (4, 2)])
+def test_hot_keys(spark, monkeypatch, hubs):
+    monkeypatch.setattr(_graph, "HUBS", hubs[0])
+    monkeypatch.setattr(_graph, "HOT_ROWS", hubs[1])
+    links = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(100, 130)] + [(200, 100), (300, 301)]
+    got = {(r.node, r.component) for r in _graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    nodes = {x for pair in links for x in pair}
+    assert got == set(brute.components(nodes, links).items())
+    base = " ".join(f"w{i}" for i in range(50))
+    docs = spark.createDataFrame([(i, base) for i in range(30)] + [(100 + i, base.replace(f"w{i}", "x")) for i in range(40)] + [(200, "alone")], "doc_id long, text string")
+    assert tuples(minhash_dedup.near_copies(docs, k=2)) == sorted(brute.near_copies([tuple(r) for r in docs.collect()]), key=repr)
+
+
+def test_one_bucket_of_unlike_vectors(spark):
+    """Vectors at cosine 0.85 to one centre share filters, but only planted pairs are linked."""
+    rng = np.random.default_rng(8)
+    c = np.eye(32)[0]
+    z = rng.normal(size=(500, 32))
+    z[:, 0] = 0
+    x = 0.85 * c + np.sqrt(1 - 0.85**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    x[400:] = x[:100] + 0.02 * rng.normal(size=(100, 32))
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    root = brute.components(range(500), zip(*(y.tolist() for y in np.nonzero(np.triu(u @ u.T >= 0.95, 1)))))
+    assert got == root and sum(i != r for i, r in root.items()) >= 100
+
+
+def test_empty_vectors(spark):
+    empty = spark.createDataFrame([], "vec_id long, embedding array<float>, component_id long, kept string")
+    assert embedding_dedup.near_vectors(empty).collect() == []
+
+
 def test_large_families_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
     rng = np.random.default_rng(1)
@@ -156,6 +218,34 @@ def test_token_counts_equal_the_library(spark, odd, rows):
     assert got == sorted(((i, len((t or "").encode()), len(model.encode(t or ""))) for i, t in ODD), key=repr)
 
 
+def test_texts_without_spaces(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    counter = token_counts.Transducer(path)
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdefgh"), 5000)), "a" * 7000, "ab" * 4000, " " * 3000, "日本語" * 1500, "x" + "é" * 3000 + " the end", "thequickbrownfox" * 400, "=" * 5001, ""]
+    want = [len(model.encode(t)) for t in texts]
+    for segment, states in ((1 << 20, 300_000), (3000, 300_000), (3000, 50)):
+        monkeypatch.setattr(_scan, "SEGMENT", segment)
+        monkeypatch.setattr(token_counts, "STATES", states)
+        assert counter.count(pa.array(texts)).tolist() == want
+
+
+def test_parses_are_those_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = language_id.Model({"a": "the cat sat on the mat " + "".join(rng.choice(list("abcdef "), 2000)), "b": "der hund " + "".join(rng.choice(list("abcxyz "), 1500))})
+    texts = pa.array(["".join(rng.choice(list("abcdefxyz the."), n)) for n in (10, 900, 3000, 5000, 1)] + ["a" * 4000, "", None, "the cat sat " * 500])
+    monkeypatch.setattr(language_id, "SPAN", 10_000)
+    whole = model.phrases(texts)[0].tolist()
+    for span, segment in ((1024, 1 << 20), (50, 1 << 20), (50, 400)):
+        monkeypatch.setattr(language_id, "SPAN", span)
+        monkeypatch.setattr(_scan, "SEGMENT", segment)
+        assert model.phrases(texts)[0].tolist() == whole
+
+
 def test_packing_round_trip(spark, odd, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -257,8 +347,15 @@ def test_toxicity(spark, odd):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(docs, labels)
     out = toxicity.score_toxicity(docs, model).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id")))
-    assert out.where("toxic = 1 and score >= 0.7").count() >= 0.75 * out.where("toxic = 1").count()  # 300 rows to learn from
-    assert out.where("toxic = 0 and score < 0.7").count() >= 0.97 * out.where("toxic = 0").count()
+    assert out.where("toxic = 1 and score >= 0.7").count() >= 0.8 * out.where("toxic = 1").count()  # 300 rows to learn from
+    assert out.where("toxic = 0 and score < 0.7").count() >= 0.99 * out.where("toxic = 0").count()
+    texts = [r.text for r in docs.join(labels.where("toxic = 1"), "doc_id").where(toxicity.held_out(F.col("doc_id"))).select("text").collect()]
+    rng = np.random.default_rng(3)
+    assert (model.score(pa.array([toxicity.misspelt(t, rng) for t in texts])) >= 0.7).mean() >= 0.75
+    # repeated ids and labels, contradictory labels
+    few = labels.limit(400)
+    assert toxicity.learn(docs.union(docs.limit(200)), few.union(few)).bias == toxicity.learn(docs, few).bias
+    assert not toxicity.learn(docs, labels.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("toxic"))).trained
     got = toxicity.score_toxicity(odd, model).collect()
     assert len(got) == len(ODD) and all(r.score < 0.5 for r in got if r.doc_id in (None, 0, 1, 2, 4))
     assert {r.score for r in toxicity.score_toxicity(odd, toxicity.learn(docs, labels.limit(0))).collect()} == {0.5}
