@@ -205,6 +205,127 @@ def test_collection(spark, tmp_path):
         store.Collection(spark, f"file://{tmp_path}/c", 2)
 
 
+def _ids(c):
+    return sorted(r.id for r in c.live().collect())
+
+
+def test_crash_at_every_step(spark, tmp_path, monkeypatch):
+    """A writer dies before or after each change of files; reopening shows the state before or
+    after the operation, loses nothing that was noted, and goes on."""
+    class Dead(Exception):
+        pass
+
+    def rows(*ids):
+        return spark.createDataFrame([(i, [float(i)], None) for i in ids], "id long, vector array<float>, metadata string")
+
+    first = f"file://{tmp_path}/first"
+    c = store.Collection(spark, first, 1, max_segments=1)
+    c.insert(rows(1, 2))
+    c.checkpoint()
+    c.insert(rows(3))
+    cases = {"insert": (lambda c: c.insert(rows(4)), {(1, 2, 3), (1, 2, 3, 4)}), "checkpoint": (lambda c: c.checkpoint(), {(1, 2, 3)})}
+    steps = {"insert": (("_write", 1), ("_write_json", 1)), "checkpoint": (("_write", 1), ("_write", 2), ("_write_json", 1), ("collect_garbage", 1))}
+    for name, (run, allowed) in cases.items():
+        for method, nth in steps[name]:
+            for after in (False, True):
+                place = tmp_path / f"{name}-{method}-{after}-{nth}"
+                shutil.copytree(tmp_path / "first", place)
+                c = store.Collection(spark, f"file://{place}", 1, max_segments=1)
+                calls, real = [], getattr(store.Collection, method)
+
+                def dying(self, *a, real=real, calls=calls, after=after, nth=nth, **k):
+                    calls.append(1)
+                    if len(calls) == nth and not after:
+                        raise Dead
+                    out = real(self, *a, **k)
+                    if len(calls) == nth:
+                        raise Dead
+                    return out
+
+                with monkeypatch.context() as m:
+                    m.setattr(store.Collection, method, dying)
+                    try:
+                        run(c)
+                    except Dead:
+                        pass
+                before = sorted(str(x) for x in place.rglob("*"))
+                again = store.Collection(spark, f"file://{place}", 1, max_segments=1)
+                assert tuple(_ids(again)) in allowed and before == sorted(str(x) for x in place.rglob("*"))
+                again.insert(rows(9))
+                assert 9 in _ids(store.Collection(spark, f"file://{place}", 1))
+
+
+def test_damage_is_kept_apart(spark, tmp_path):
+    def rows(*ids):
+        return spark.createDataFrame([(i, [float(i)], None) for i in ids], "id long, vector array<float>, metadata string").coalesce(1)
+
+    path = f"file://{tmp_path}/c"
+    c = store.Collection(spark, path, 1)
+    for i in (1, 2, 3):
+        c.insert(rows(i))
+    (bad,) = (tmp_path / "c/log/000000000002").glob("*.parquet")
+    bad.write_bytes(bad.read_bytes()[:-1] + b"x")
+    (bad.parent / f".{bad.name}.crc").unlink()
+    for _ in range(2):  # reading changes nothing
+        c = store.Collection(spark, path, 1)
+        assert _ids(c) == [1] and "commit 2" in c.replayed["truncated"]
+    c.insert(rows(7))
+    assert _ids(store.Collection(spark, path, 1)) == [1, 7]
+    assert len(list((tmp_path / "c/quarantine").rglob("*.parquet"))) == 2
+    c.checkpoint()
+    (segment,) = (tmp_path / "c/segments").iterdir()
+    part = max(segment.glob("*.parquet"), key=lambda x: x.stat().st_size)
+    raw = part.read_bytes()
+    part.write_bytes(raw[:-9] + bytes(1) + raw[-8:])
+    (part.parent / f".{part.name}.crc").unlink()
+    with pytest.raises(store.StoreError):
+        store.Collection(spark, path, 1).verify()
+    part.write_bytes(raw[:-9])
+    with pytest.raises(store.StoreError):
+        store.Collection(spark, path, 1)
+    for x in (tmp_path / "c").glob("*manifest*"):
+        x.unlink()
+    with pytest.raises(store.StoreError, match="no manifest"):
+        store.Collection(spark, path, 1)
+    assert segment.exists()
+
+
+def test_search_of_a_collection(spark, tmp_path):
+    df, x = vecs(spark, 300, 8)
+    c = store.Collection(spark, f"file://{tmp_path}/c", 8, seal_rows=1000, sync="group:20")
+    c.insert(df.withColumn("metadata", F.format_string('{"g":%d}', F.col("id") % 3)))
+    live = {i: v for i, v in enumerate(x.astype(np.float32).astype(float))}
+
+    def want(q, k, ids):
+        return sorted(ids, key=lambda i: (((live[i] - q) ** 2).sum(), i))[:k]
+
+    q = x[5] + 0.01
+    assert [r.id for r in c.search(q, 10).collect()] == want(q, 10, live)
+    json_filter = {"must": [{"op": "eq", "key": "g", "value": 1}]}
+    assert [r.id for r in c.search(q, 5, json_filter).collect()] == want(q, 5, [i for i in live if i % 3 == 1])
+    assert c.explain_filter(json_filter, 5).arm == "post" and c.explain_filter(None).arm == "all" and c.explain_filter(json_filter, 10).arm == "scan"
+    c.build_index()
+    c.delete(spark.createDataFrame([(5,), (6,)], "id long"))
+    live = {i: v for i, v in live.items() if i not in (5, 6)}
+    c.insert(spark.createDataFrame([(900, q.tolist(), None)], "id long, vector array<double>, metadata string"))
+    live[900] = q.astype(np.float32).astype(float)
+    c = store.Collection(spark, f"file://{tmp_path}/c", 8)
+    found = [r.id for r in c.search(q, 10).collect()]
+    assert found[0] == 900 and not {5, 6} & set(found) and len(set(found) & set(want(q, 10, live))) >= 9
+    assert len(c.search(q, 400).collect()) == 299 and c.search(q, 0).collect() == []
+    with pytest.raises(search.DimensionError):
+        c.search([1.0], 3)
+    row = c.stats().first()
+    assert row.len == 299 and row.indexed and row.wal_bytes > 0 and row.buffer == 303 and 0 < row.tombstone_ratio < 0.02
+    for bad in ("group", "often", "group:x"):
+        with pytest.raises(store.StoreError):
+            store.SyncPolicy(bad)
+    # seal threshold and compaction of dead records
+    c.seal_rows = 1
+    c.delete(spark.createDataFrame([(i,) for i in range(100, 290)], "id long"))
+    assert len(c.manifest["segments"]) == 1 and c.manifest["segments"][0]["rows"] == c.count() == 109 and not c.log
+
+
 def test_stream(spark, tmp_path):
     schema = "seq long, op string, id long, vector array<float>, metadata string"
     spark.createDataFrame([(1, "insert", 1, [1.0], None), (2, "delete", 1, None, None), (3, "insert", 2, [2.0], None), (4, "insert", 1, [3.0], None)], schema).coalesce(1).write.parquet(f"{tmp_path}/ops")
@@ -230,7 +351,7 @@ def test_entry_without_the_corpus_operators(tmp_path):
 
 
 def test_entry_and_names(spark):
-    assert entry.entry(spark).count() == 200
+    assert entry.entry(spark).count() == 100  # 10 of 500 ids are divisible by 50
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
