@@ -276,7 +276,7 @@ def test_damage_is_kept_apart(spark, tmp_path):
     (segment,) = (tmp_path / "c/segments").iterdir()
     part = max(segment.glob("*.parquet"), key=lambda x: x.stat().st_size)
     raw = part.read_bytes()
-    part.write_bytes(raw[:-9] + bytes(1) + raw[-8:])
+    part.write_bytes(raw[:-9] + bytes([raw[-9] ^ 1]) + raw[-8:])
     (part.parent / f".{part.name}.crc").unlink()
     with pytest.raises(store.StoreError):
         store.Collection(spark, path, 1).verify()
