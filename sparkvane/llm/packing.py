@@ -19,6 +19,7 @@ import os
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -72,7 +73,8 @@ class Encoder:
             self.clear()
         data, offsets = _text.buffers(column)
         raw = data.tobytes()
-        c = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
+        text = raw.decode()
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         first = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
         odd = set()
         if len(c):
@@ -89,7 +91,7 @@ class Encoder:
         if not len(c):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         start = self._starts(c, kind, first)
-        place, count = self._places(np.minimum(c, 0xFFFF), start)
+        place, count = self._places(text, np.minimum(c, 0xFFFF), start)
         ends = np.append(0, np.cumsum(count))
         ids = self.ids[np.repeat(place - ends[:-1], count) + np.arange(ends[-1])]
         bounds = ends[np.searchsorted(start, first)]
@@ -125,7 +127,7 @@ class Encoder:
             start[end[(kind[end] == _LETTER)]] = True
         return np.flatnonzero(start)
 
-    def _places(self, c: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _places(self, text: str, c: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each part are in ``self.ids``, and how many."""
         up, down = _text._BYTES.upto(len(c) + 1)
         total = np.zeros(len(c) + 1, np.uint64)
@@ -139,16 +141,18 @@ class Encoder:
             own, at, back = np.unique(h[miss], return_index=True, return_inverse=True)
             known = self.known
             new = [i for i, x in enumerate(own.tolist()) if x not in known]
-            texts = [c[start[j] : end[j]].astype("<u4").tobytes().decode("utf-32-le") for j in miss[at[new]]]
-            for i, e in zip(own[new].tolist(), self.library.encode_batch(texts, add_special_tokens=False)):
-                x = e.ids
-                if self.used + len(x) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(len(x), len(self.ids)), np.uint32)])
-                self.ids[self.used : self.used + len(x)] = x
-                if len(x) >> 24:
-                    raise ValueError("a part of 2**24 ids or more")
-                known[i] = self.used << 24 | len(x)
-                self.used += len(x)
+            at = miss[at[new]]
+            parts = [text[i:j] for i, j in zip(start[at].tolist(), end[at].tolist())]
+            encoded = [e.ids for e in self.library.encode_batch_fast(parts, add_special_tokens=False)]
+            count = np.array([len(x) for x in encoded], np.int64)
+            if len(count) and count.max() >> 24:
+                raise ValueError("a part of 2**24 ids or more")
+            ends, more = self.used + np.cumsum(count), int(count.sum())
+            if self.used + more > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(more, len(self.ids)), np.uint32)])
+            self.ids[self.used : self.used + more] = np.fromiter(chain.from_iterable(encoded), np.uint32, more)
+            self.used += more
+            known.update(zip(own[new].tolist(), (ends - count << 24 | count).tolist()))
             got = np.array([known[x] for x in own.tolist()], np.int64)
             found[miss] = got[back]
             self.slot_key[slot[miss]], self.slot[slot[miss]] = h[miss], found[miss]
