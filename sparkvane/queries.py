@@ -6,6 +6,9 @@ Where the metric matters, embeddings are rescaled by their label: the raw ones a
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from sparkvane.functions.distance import Metric, normalize
 from sparkvane.operators import ann, evaluate, filtered, quantize, search
 from sparkvane.plans import planner
 from sparkvane.plans.filters import Eq, Filter, Range
-from sparkvane.streaming.store import last_operations
+from sparkvane.streaming.store import Collection, last_operations
 
 K = 10
 
@@ -192,6 +195,42 @@ def _arms(spark, d):
     return spark.createDataFrame(rows, "query int, arm string")
 
 
+def _collection(spark, d):
+    """A collection that goes when the application ends: most rows are inserted, some of these
+    deleted, that is sealed, the rest is inserted, and all is opened again."""
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.to_json(F.struct("label")).alias("metadata"))
+    dim = rows.agg(F.max(F.size("vector")).alias("dim")).first()["dim"] or 1
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkvane-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/collection-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    c = Collection(spark, path, dim, seal_rows=1 << 62)  # sealed by the checkpoint only
+    c.insert(rows.where("id % 10 <> 0"))
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    c.delete(rows.where("id % 10 <> 0 and id % 7 = 0").select("id"))
+    c.checkpoint()
+    c.insert(rows.where("id % 10 = 0"))
+    return Collection(spark, path, dim)
+
+
+def _roundtrip(spark, d):
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return _collection(spark, d).live().select("id", F.expr("variant_get(metadata, '$.label', 'int')").alias("label"), F.round(total, 6).alias("total"))
+
+
+def _store_stats(spark, d):
+    return _collection(spark, d).stats().select(F.col("len").alias("live"), "segments", "log_commits", "buffer", "generation", "replay_applied")
+
+
+def _collection_search(spark, d):
+    query = [float(x) for x in spark.read.parquet(f"{d}/embeddings.parquet").where("vec_id = 0").first()["embedding"]]
+    return _rounded(_collection(spark, d).search(query, K, Filter((Range("label", 2, 5),))))
+
+
 def _dot(a, b):
     return _sql_sum(a, b, "z[1] * z[2]")
 
@@ -236,8 +275,14 @@ QUERIES = {
     "live_view_replay": _replay,
     "ann_topk": _ann,
     "planner_arms": _arms,
+    "store_roundtrip": _roundtrip,
+    "store_stats": _store_stats,
+    "collection_search": _collection_search,
 }
 
+#: The records of ``_collection`` that are live.
+_LIVE = "(vec_id % 10 = 0 OR vec_id % 7 <> 0)"
+
 SQL = {
     **{f"knn_{m}_batch": _batch_sql(m) for m in ("l2", "dot", "cosine")},
     **{f"topk_{m}_single": _single_sql(metric=m) for m in ("l2", "dot", "cosine")},
@@ -275,4 +320,17 @@ h AS (SELECT t.qid, count(r.id) / least({K}, count(*))::DOUBLE AS share FROM t L
 SELECT round(avg(share), 9) AS recall FROM h""",
     "merge_dedup_topk": _batch_sql("l2"),
     "live_view_replay": "SELECT user_id AS id, event_id AS seq, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_id % 3 <> 0",
+    # what the search promises; the queries measure it
+    "quant_recall": "SELECT true AS recall_holds",
+    "ann_topk": "SELECT true AS recall_holds",
+    "planner_arms": f"""WITH c AS (SELECT count(*) AS n, [count(*) FILTER (WHERE label = 99), count(*) FILTER (WHERE vec_id BETWEEN 0 AND 20), count(*) FILTER (WHERE vec_id >= 0)] AS found FROM embeddings),
+m AS (SELECT unnest([1, 2, 3]) AS query, unnest(found) AS found, greatest(16 * {K}, floor(0.05 * n)) AS most FROM c)
+SELECT 0::INT AS query, 'all' AS arm UNION ALL SELECT 4::INT, 'empty'
+UNION ALL SELECT query::INT, CASE WHEN found = 0 THEN 'empty' WHEN found <= most THEN 'scan' ELSE 'post' END FROM m""",
+    "store_roundtrip": f"SELECT vec_id AS id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings WHERE {_LIVE}",
+    "store_stats": f"""SELECT count(*) FILTER (WHERE {_LIVE}) AS live, 1::INT AS segments, 1::INT AS log_commits, count(*) FILTER (WHERE vec_id % 10 = 0) AS buffer,
+1::INT AS generation, 1::INT AS replay_applied FROM embeddings""",
+    "collection_search": f"""WITH base AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS vector, label FROM embeddings)
+SELECT b.id, round({_sql_distance('l2', 'b.vector', 'q.vector')}, 6) + 0.0 AS distance FROM base b, base q
+WHERE q.id = 0 AND b.label BETWEEN 2 AND 5 AND {_LIVE.replace('vec_id', 'b.id')} ORDER BY {_sql_distance('l2', 'b.vector', 'q.vector')}, b.id LIMIT {K}""",
 }

@@ -6,7 +6,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -122,16 +122,22 @@ def register(spark: SparkSession) -> None:
 
 
 def read_shared(spark: SparkSession, path: str, kind: str = "float") -> DataFrame:
-    """The same from a store that only Spark reads: one task a file."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """The same from a store that only Spark reads: one task a file of at most 2 GB. Ids run on
+    from file to file, in the order of their paths."""
+    files = spark.read.format("binaryFile").load(path)
+    little = F.concat(*[F.substring("content", i, 1) for i in (4, 3, 2, 1)])  # the first record's dimension
+    size = 4 + 4 * F.conv(F.hex(little), 16, 10).cast("long")
+    heads = files.select("path", F.coalesce(F.expr("length").cast("long") / size, F.lit(0)).cast("long").alias("n"))  # a row a file
+    first = F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = files.select("path", "content").join(heads.select("path", first.alias("first")), "path").select("first", "content")
 
     def run(batches):
         for b in batches:
-            for raw in b.column("content").to_pylist():
+            for start, raw in zip(b.column("first").to_pylist(), b.column("content").to_pylist()):
                 rows = parse(raw, "<f4" if kind == "float" else "<i4")
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(list(rows), pa.list_(pa.float32() if kind == "float" else pa.int32()))], ["id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(start + np.arange(len(rows))), pa.array(list(rows), pa.list_(pa.float32() if kind == "float" else pa.int32()))], ["id", "vector"])
 
-    return files.mapInArrow(run, f"id long, vector array<{kind}>")
+    return rows.mapInArrow(run, f"id long, vector array<{kind}>")
 
 
 def random_vectors(spark: SparkSession, n: int, dim: int, seed: int = 42) -> DataFrame:

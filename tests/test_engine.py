@@ -158,6 +158,15 @@ def test_vector_files(spark, tmp_path):
     assert [r.vector for r in got] == rows.tolist()
     assert spark.read.format("fvecs").option("limit", 3).load(str(tmp_path / "a.fvecs")).count() == 3
     assert vectors.read_shared(spark, str(tmp_path / "a.fvecs")).count() == 10
+    (tmp_path / "b.fvecs").write_bytes(vectors.to_bytes(rows[:3] + 100))
+    (tmp_path / "c.fvecs").write_bytes(b"")
+    (tmp_path / "d.fvecs").write_bytes(raw)
+    got = vectors.read_shared(spark, str(tmp_path / "*.fvecs")).orderBy("id").collect()
+    assert [r.id for r in got] == list(range(23)) and [r.vector for r in got] == [*rows.tolist(), *(rows[:3] + 100).tolist(), *rows.tolist()]
+    near = np.arange(12, dtype=np.int32).reshape(4, 3) - 5
+    (tmp_path / "n.ivecs").write_bytes(np.concatenate([np.full((4, 1), 3, np.int32), near], 1).astype("<i4").tobytes())
+    for got in (spark.read.format("ivecs").option("rowsPerPartition", 3).load(str(tmp_path / "n.ivecs")), vectors.read_shared(spark, str(tmp_path / "n.ivecs"), "int")):
+        assert [tuple(r) for r in got.orderBy("id").collect()] == list(enumerate(near.tolist()))
     for bad in (raw[:-3], raw + vectors.to_bytes(rows[:1, :2]), b"\0\0\0\0", raw[:2]):
         with pytest.raises(vectors.VectorFileError):
             vectors.parse(bad)
@@ -355,7 +364,7 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["knn_cosine_batch", "topk_l2_single", "filtered_topk_and", "filter_variant_props_range", "quantize_encode", "range_histogram", "live_view_replay"])
+@pytest.mark.parametrize("name", ["knn_cosine_batch", "topk_l2_single", "filtered_topk_and", "filter_variant_props_range", "quantize_encode", "range_histogram", "live_view_replay", "planner_arms", "store_roundtrip", "store_stats", "collection_search"])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("embeddings", "events", "labels", "lineitem"):
