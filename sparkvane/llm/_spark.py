@@ -31,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     session without that setting a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):  # "local-cluster[" has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sparkvane-"))
         folder = spark.sparkContext.getCheckpointDir()
@@ -56,4 +56,4 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def carried(columns: list[str]) -> list[Column]:
     """Columns that an operator passes through, as one struct that clashes with no name."""
-    return [F.struct(*columns).alias("_carried")] if columns else []
+    return [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_carried")] if columns else []

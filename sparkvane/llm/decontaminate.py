@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _text
 from ._spark import BROADCAST_BYTES, carried, materialize, ship
@@ -140,7 +141,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
     schema += ", cleaned string" if keep_text else ""
-    schema += f", _carried {base.schema['_carried'].dataType.simpleString()}" if carry else ""
+    schema = StructType([*StructType.fromDDL(schema), *(f for f in base.schema if f.name == "_carried")])
     columns = ["doc_id", "n_words", "spans", "items", *(["cleaned"] if keep_text else []), *(["_carried"] if carry else [])]
     if _memory(items) > broadcast_bytes:
         return _by_join(base, items, ngram, keep_text, schema, columns)
@@ -192,7 +193,7 @@ def _memory(items: DataFrame) -> int:
     return n * _ITEM_BYTES + size + words * _WINDOW_BYTES
 
 
-def _by_join(base: DataFrame, items: DataFrame, ngram: int, keep_text: bool, schema: str, columns: list[str]) -> DataFrame:
+def _by_join(base: DataFrame, items: DataFrame, ngram: int, keep_text: bool, schema: StructType, columns: list[str]) -> DataFrame:
     """The same result without a broadcast set: windows of both sides meet by hash.
 
     Hashes of document windows pass a filter (16 flags a window, at most 64 MB) before they are

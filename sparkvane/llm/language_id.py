@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import _scan, _text
 from ._spark import carried, ship
@@ -40,7 +41,8 @@ def normal(text: str) -> str:
 
 def automaton(text: np.ndarray, width: int) -> np.ndarray:
     """The suffix automaton of a text of symbols, as a table: (next state * 2 + 1 if a phrase
-    ends before this symbol) by state and symbol."""
+    ends before this symbol) by state and symbol. The last state is that after a symbol which the
+    text doesn't have: a phrase by itself, which no symbol can go on."""
     size = 2 * len(text) + 2
     follow = np.full((size, width), -1, np.int32)
     link, longest = [-1], [0]
@@ -68,11 +70,10 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
                 link[q] = link[own] = clone
         last = own
     follow = follow[: len(link)]
-    root = np.maximum(follow[0], 0)  # an unknown symbol is a phrase by itself
-    out = np.where(follow >= 0, follow * 2, root * 2 + 1)
-    out[0] = root * 2  # no phrase is open at the start
-    out[0, follow[0] < 0] = 1
-    return out.astype(np.int32)
+    first = np.where(follow[0] >= 0, follow[0], len(link))
+    out = np.where(follow >= 0, follow * 2, first * 2 + 1)
+    out[0] = first * 2  # no phrase is open at the start
+    return np.vstack([out, first * 2 + 1]).astype(np.int32)
 
 
 class Model:
@@ -88,16 +89,17 @@ class Model:
             x = chr(c)
             if x.isalpha():
                 self.symbol[c] = number.get(x.lower()[0], _OTHER)
-        tables, self.roots, self.weight = [], [], []
+        tables, self.roots, self.alone, self.weight = [], [], [], []
         for name in self.languages:
             text = np.array([number.get(c, _GAP) for c in samples[name]], np.int64)
             self.roots.append(sum(len(t) for t in tables))
             tables.append(automaton(text, self.width) + 2 * self.roots[-1])
+            self.alone.append(self.roots[-1] + len(tables[-1]) - 1)
             self.weight.append(math.log2(len(text) + 2))
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
 
-    def phrases(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(phrases by text and language, letters by text)."""
+    def phrases(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrases by text and language, letters by text, completed phrases by text and language)."""
         data, offsets = _text.buffers(column)
         c = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         first = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
@@ -119,6 +121,8 @@ class Model:
         begin = first[doc] + nth * SPAN
         length = np.minimum(n[doc] - nth * SPAN, SPAN)
         out = np.ones((len(n), len(self.languages)), np.int64)  # the last phrase is open
+        complete = np.zeros_like(out)  # but if it is a letter that the language doesn't have
+        final = nth + 1 == np.repeat(lanes, lanes)
 
         def step(state: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             got = self.table[state * self.width + s[place]]
@@ -135,11 +139,13 @@ class Model:
                 count, state = _scan.scan(step, root, init, begin[a:b], length[a:b], follows)
                 np.add.at(out, (doc[a:b, None], i + np.arange(len(root))), count.T)
                 last = state[:, -1]
-        return out, np.diff(letters)
+                ends = np.flatnonzero(final[a:b])
+                complete[doc[a + ends][:, None], i + np.arange(len(root))] = (state[:, ends] == np.array(self.alone[i : i + 8])[:, None]).T
+        return out, np.diff(letters), out - 1 + complete
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language, score, completed phrases a letter) by text."""
-        phrases, letters = self.phrases(column)
+        phrases, letters, complete = self.phrases(column)
         if not self.languages:
             return ["und"] * len(letters), np.zeros(len(letters)), np.zeros(len(letters))
         cost = phrases * np.array(self.weight)
@@ -149,7 +155,7 @@ class Model:
         ok = letters > 0
         score = np.where(ok, 1 - least / np.maximum(others, 1e-9), 0.0)
         # the last phrase is open: a text that fits as a whole has completed none
-        rate = np.where(ok, (np.take_along_axis(phrases, best[:, None], 1)[:, 0] - 1) / np.maximum(letters, 1), 0.0)
+        rate = np.where(ok, np.take_along_axis(complete, best[:, None], 1)[:, 0] / np.maximum(letters, 1), 0.0)
         return [self.languages[i] if y else "und" for i, y in zip(best, ok)], score, rate
 
 
@@ -210,8 +216,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 languages, score, rate = shared.value.predict(b.column("text"))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(languages, pa.string()), pa.array(score), pa.array(rate)], [*names, "lang_pred", "score", "rate"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{schema}, lang_pred string, score double, rate double")
+    return docs.mapInArrow(run, StructType([*docs.schema, *StructType.fromDDL("lang_pred string, score double, rate double")]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -293,6 +293,37 @@ def test_language(spark, odd, tables):
     assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_equals_plain_parsing(spark, tables, monkeypatch):
+    docs, learned, build = tables["documents"], {}, language_id.Model
+    with monkeypatch.context() as m:
+        m.setattr(language_id, "Model", lambda samples: learned.update(samples) or build(samples))
+        model = language_id.learn(docs)
+    few = docs.where(F.length("text") < 1200)
+    got = {r.doc_id: r for r in language_id.identify(few, model).collect()}
+
+    def phrases(text, known):
+        n, i = 0, 0
+        while i < len(text):
+            j = i + 1
+            while j < len(text) and text[i : j + 1] in known:
+                j += 1
+            n, i = n + 1, j
+        return n
+
+    for r in few.collect():
+        text = language_id.normal(r.text)
+        text += " " * (not r.text[-1:].isalpha())  # what follows the last letter is a gap too
+        if not text.strip():
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+            continue
+        cost = sorted((phrases(text, known) * np.log2(len(known) + 2), name) for name, known in learned.items())
+        assert got[r.doc_id].lang_pred == cost[0][1]
+        assert got[r.doc_id].score == pytest.approx(1 - cost[0][0] / cost[1][0])
+    assert len(got) > 20
+    tied = language_id.identify(few, build({"b": "the end ", "a": "the end "})).collect()
+    assert {(r.lang_pred, r.score) for r in tied} <= {("a", 0.0), ("und", 0.0)}
+
+
 def test_clean_short_documents_stay(spark, tables):
     learned = tables["documents"].where("doc_id % 5 > 0")
     short = [(900, "A."), (901, "a"), (902, "I am"), (903, "The end."), (904, "?!"), (905, "日本語 テスト")]
@@ -418,3 +449,37 @@ def test_pipeline(spark, tables):
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 100
     items = [tuple(r) for r in tables["benchmark"].collect()]
     assert not any(hit for _, _, hit, *_ in brute.leaks([(r.doc_id, r.text) for r in at.collect()], items))
+
+
+def test_pipeline_of_odd_documents(spark, tables, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing names, empty tables."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = tables["documents"]
+    extra = [F.lit(c).alias(c) for c in ("gone", "_carried", "key", "n", "kept", "a.b")] + [F.lit(None).cast("string").alias("items")]
+    words = " ".join(docs.where("lang = 'en'").orderBy(F.length("text").desc()).first()["text"].split()[:60])
+    own = [(None, f"Nobody knows this one. {words[:50]}"), (900, None), (901, ""), (902, " \n "), (903, "%% 12"), (904, f"{words} and so on"), (904, f"{words} and so on"), (905, f"{words} and so on"), (906, f"The story goes on and on {words[100:140]} " * 4000)]
+    odd = spark.createDataFrame([(i, t, None, None, None) for i, t in own], docs.schema)
+    docs.unionByName(odd).select("*", *extra).write.parquet(str(tmp_path / "documents.parquet"))
+    tables["benchmark"].write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = at.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.materialize(stage(spark, at, str(tmp_path)), name)
+        assert out.columns == names and out.schema == at.schema
+        assert out.where("gone <> 'gone' or `a.b` <> 'a.b' or _carried <> '_carried'").count() == 0
+        at = out
+    kept = [r.doc_id for r in at.where("doc_id >= 900 or doc_id is null").collect()]
+    assert sorted(kept, key=str) == [904, 904, 906, None]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted((str(r.doc_id), len(library.encode(r.text, add_special_tokens=False).ids) + 1) for r in at.collect())
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in got if r.start == 0) == want
+    assert sum(r.length for r in got) == sum(n for _, n in want)
+    places = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    for (s, o, n), (s2, o2, _) in zip(places, places[1:]):
+        assert (s2, o2) == ((s, o + n) if s2 == s else (s + 1, 0)) and o + n <= 1024
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    tables["benchmark"].limit(0).write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
