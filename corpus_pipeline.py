@@ -19,7 +19,7 @@ def _others(docs: DataFrame) -> list[str]:
 
 def _like(docs: DataFrame, out: DataFrame, text: str, **columns) -> DataFrame:
     """``out`` with the columns of ``docs``: the new text, what it carried, and some replaced."""
-    values = {c: F.col(f"_carried.{c}") for c in _others(docs)} | {"doc_id": F.col("doc_id"), "text": F.col(text), "n_chars": F.char_length(text).cast("long")} | columns
+    values = {c: F.col(f"_carried.`{c}`") for c in _others(docs)} | {"doc_id": F.col("doc_id"), "text": F.col(text), "n_chars": F.char_length(text).cast("long")} | columns
     return out.select(*[values[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
@@ -37,11 +37,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays."""
-    gone = materialize(minhash_dedup.near_copies(docs).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest id stays.
+    Rows that share an id stay or go together; rows without an id stay."""
+    gone = materialize(minhash_dedup.near_copies(docs).where("not kept").select("doc_id").distinct(), "gone")
     # 40 bytes an id: broadcast up to the bound, else Spark joins by shuffles
     small = 40 * gone.count() <= BROADCAST_BYTES
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,6 +71,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``: the pieces and places of what they keep.
+
+    Null and empty texts, and those without letters, go at the first stage. Rows of one id are
+    judged by their own text, but near copies by id; equal rows with one id all stay. Rows without
+    an id go through all stages. Columns of any other names are carried up to packing. Empty
+    tables give no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
