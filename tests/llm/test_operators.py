@@ -134,6 +134,23 @@ def test_empty_vectors(spark):
     assert embedding_dedup.near_vectors(empty).collect() == []
 
 
+def test_nodes_of_families_are_not_broadcast(spark, monkeypatch):
+    """Only a bounded filter of their ids is; rows that pass it by chance change nothing."""
+    docs = spark.createDataFrame([(1, "a b c"), (1, "other words"), (1, "a b c"), (2, "a b c"), (3, "x y z"), (None, "x y z"), (4, None)], "doc_id long, text string")
+    nodes = minhash_dedup.sketches(docs.where("doc_id is not null"), 2).select(F.col("doc_id").alias("least"), "d1", "d2")
+    few = nodes.where("least = 1").groupBy("least", "d1", "d2").agg(F.lit(9).cast("long").alias("family"), F.lit(1).cast("long").alias("blocks")).withColumn("node", F.col("d1"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for bits in (1 << 26, 64):
+            monkeypatch.setattr(minhash_dedup, "FILTER_BITS", bits, raising=False)
+            sets = minhash_dedup._family_sets(docs, few, 2, 2)
+            assert "Broadcast" not in sets._jdf.queryExecution().executedPlan().toString()
+            assert sorted((r.family, r.blocks, len(r.set)) for r in sets.collect()) == [(9, 1, 8), (9, 1, 16)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_large_families_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
     rng = np.random.default_rng(1)
