@@ -115,6 +115,26 @@ def test_hot_keys(spark, monkeypatch, hubs):
     assert tuples(minhash_dedup.near_copies(docs, k=2)) == sorted(brute.near_copies([tuple(r) for r in docs.collect()]), key=repr)
 
 
+@pytest.mark.parametrize("most", [1 << 21, 20, 0])
+def test_components_by_one_task_several_and_stars(spark, monkeypatch, most):
+    """A long path takes one table, not one for each round, while its links fit one task."""
+    tables = []
+    monkeypatch.setattr(_graph, "materialize", lambda df, label, write=_graph.materialize: tables.append(label) or write(df, label))
+    monkeypatch.setattr(_graph, "LINKS", most, raising=False)
+    monkeypatch.setattr(_graph, "CHUNK", 16, raising=False)
+    rng = np.random.default_rng(2)
+    name = rng.permutation(200) - 50
+    links = [(int(name[i]), int(name[i + 1])) for i in range(120)] * 2 + [(int(a), int(b)) for a, b in rng.integers(200, 260, (30, 2))] + [(1 << 62, 7), (999, 999)]
+    got = sorted(tuple(r) for r in _graph.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect())
+    links = [(a, b) for a, b in links if a != b]
+    assert got == sorted(brute.components({x for link in links for x in link}, links).items())
+    assert len(tables) == 1 or most < 1 << 21
+
+
+def test_no_components_without_links(spark):
+    assert _graph.components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == []
+
+
 def test_one_bucket_of_unlike_vectors(spark):
     """Vectors at cosine 0.85 to one centre share filters, but only planted pairs are linked."""
     rng = np.random.default_rng(8)
