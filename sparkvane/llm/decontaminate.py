@@ -154,7 +154,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         names, windows = index.value
         filters = {w: (x[0], _filter(x[0], _bits(len(x[0]))), _bits(len(x[0]))) for w, x in windows.known.items()}
         met: dict[tuple[int, bytes], frozenset[int]] = {}
-        for batch in (s for b in batches for s in _text.slices(b, "text")):
+        for batch in _text.parts(batches, "text"):
             column = batch.column("text")
             data, offsets = _text.buffers(column)
             h, start, end, first = _text.words(data, offsets, _text.ALNUM)
@@ -232,7 +232,7 @@ def _by_join(base: DataFrame, items: DataFrame, ngram: int, keep_text: bool, sch
 
     def document_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = packed.value
-        for batch in (s for b in batches for s in _text.slices(b, "text")):
+        for batch in _text.parts(batches, "text"):
             data, offsets = _text.buffers(batch.column("text"))
             h, start, end, first = _text.words(data, offsets, _text.ALNUM)
             for w in sizes:
@@ -253,7 +253,7 @@ def _by_join(base: DataFrame, items: DataFrame, ngram: int, keep_text: bool, sch
     carry = "_carried" in base.columns
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in _text.slices(b, "text")):
+        for batch in _text.parts(batches, "text"):
             column = batch.column("text")
             data, offsets = _text.buffers(column)
             _, start, end, first = _text.words(data, offsets, _text.ALNUM)

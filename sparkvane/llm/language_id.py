@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (s for x in batches for s in _text.slices(x, "text")):
+        for b in _text.parts(batches, "text"):
             if b.num_rows:
                 languages, score, rate = shared.value.predict(b.column("text"))
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(languages, pa.string()), pa.array(score), pa.array(rate)], [*names, "lang_pred", "score", "rate"])

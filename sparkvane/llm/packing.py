@@ -159,13 +159,8 @@ class Encoder:
         return found >> 24, found & 0xFFFFFF
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return _text.kept(path, lambda: Encoder(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int, keep_ids: bool = False) -> DataFrame:
@@ -177,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, keep_ids: bool = False) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, numbers = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for batch in (s for b in batches for s in _text.slices(b, "text")):
+        for batch in _text.parts(batches, "text", keeps=tokenizer):
             if not batch.num_rows:
                 continue
             ids, ends = encoder(tokenizer).encode(batch.column("text"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import brute
 import corpus_pipeline
-from sparkvane.llm import _graph, _scan, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, quality, token_counts, toxicity
+from sparkvane.llm import _graph, _scan, _text, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, packing, quality, token_counts, toxicity
 
 DATA = "/root/testdata/sf0.001"
 LONG = "a shared line that is certainly longer than forty characters"
@@ -520,3 +520,48 @@ def test_pipeline_of_odd_documents(spark, tables, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
     tables["benchmark"].limit(0).write.parquet(str(tmp_path / "none/benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_workers_get_bounded_batches(spark):
+    """Of wide texts, too, a task doesn't get all its rows in one batch."""
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some text "), 1000).alias("text"))
+    language_id.identify(docs, language_id.Model({}))
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    got = docs.mapInArrow(run, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 2000 and max(r.bytes for r in got) < 5 << 20
+
+
+def test_workers_keep_nothing_for_other_operators():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    batch = pa.record_batch({"text": ["a b", "c"]})
+    first = packing.encoder(path)
+    assert [b.num_rows for b in _text.parts(iter([batch, batch]), "text", keeps=path)] == [2, 2]
+    assert packing.encoder(path) is first
+    list(_text.parts(iter([batch]), "text"))
+    assert packing.encoder(path) is not first
+
+
+def test_one_python_step_a_stage(spark, monkeypatch):
+    """Each further one has a worker of its own for every task."""
+    plans = []
+
+    def written(df, label, f=minhash_dedup.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return f(df, label)
+
+    for module in (minhash_dedup, _graph):
+        monkeypatch.setattr(module, "materialize", written)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    base = [f"w{i}" for i in range(120)]
+    docs = [(i, " ".join([*base[: 3 * (i % 5)], *(f"r{i}x{j}" for j in range(i % 5)), *base[3 * (i % 5) + i % 5 :]])) for i in range(40)]
+    got = minhash_dedup.near_copies(spark.createDataFrame(docs, "doc_id long, text string"), k=2)
+    assert tuples(got) == sorted(brute.near_copies(docs), key=repr)
+    steps = [re.findall("MapInArrow|FlatMapGroupsInArrow|Exchange", p) for p in plans]
+    assert any("FlatMapGroupsInArrow" in x for x in steps)
+    assert not any(a != "Exchange" != b for x in steps for a, b in zip(x, x[1:]))
