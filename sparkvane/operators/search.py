@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -15,6 +16,11 @@ from sparkvane.plans.filters import Filter
 
 #: Queries that one pass over the base holds in a broadcast variable; more go in blocks.
 QUERY_BLOCK = 4096
+#: Rows and queries that are multiplied at once, components of pairs that are compared at once, and
+#: results that a task holds before it passes them on: a few dozen MB at any number of rows and queries.
+ROWS, COLUMNS, PAIRS, HELD = 2048, 512, 1 << 20, 1 << 19
+#: What a distance by products may be off, as a share of the square of both lengths' sum.
+SLACK = 1e-9
 
 
 class DimensionError(ValueError):
@@ -87,7 +93,85 @@ def matrix_of(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
-def _blocks(asked: DataFrame, kind) -> Iterator[tuple[pa.Array, np.ndarray]]:
+def _first(query: np.ndarray, far: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of each query's ``k`` nearest by (distance, id), not a number last, and for each place whether it is its
+    query's ``k``-th. Ids of kinds that Arrow may order unlike Spark leave ties at the ``k``-th."""
+    t, last = ids.type, np.isnan(far)
+    known = pa.types.is_integer(t) or pa.types.is_string(t) or pa.types.is_binary(t) or pa.types.is_decimal(t) or pa.types.is_temporal(t)
+    keys = {"query": query, "last": last.astype(np.int8), "far": np.where(last, 0.0, far)} | ({"id": ids} if known else {})
+    order = pc.sort_indices(pa.table(keys), sort_keys=[(c, "ascending") for c in keys], null_placement="at_start").to_numpy()
+    own = query[order]
+    begin = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(own)))
+    at = np.arange(len(own)) - np.repeat(begin, size)
+    keep = at < k
+    if not known:
+        value = np.where(last, np.inf, far)[order]
+        keep |= value <= np.repeat(value[begin + np.minimum(size, k) - 1], size)
+    return order[keep], (at == k - 1)[keep]
+
+
+def nearest(batches: Iterator[pa.RecordBatch], ids: pa.Array, q: np.ndarray, k: int, metric: Metric) -> Iterator[pa.RecordBatch]:
+    """``qid``, ``id``, ``distance`` of the ``k`` nearest rows of all batches to each query (``q`` as rows, with
+    ``ids``), and of a few more; memory depends on ``ROWS``, ``COLUMNS``, ``PAIRS`` and ``HELD`` only.
+
+    Products find the rows that may be nearer than the ``k``-th so far (``cut``); these are compared exactly.
+    """
+    if k <= 0 or not len(q):
+        return
+    length = np.sqrt((q * q).sum(1))
+    cut = np.full(len(q), np.inf)
+    held: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+    count, bound = 0, min(HELD, max(1 << 16, 2 * k * len(q)))
+
+    def out() -> pa.RecordBatch:
+        query, far, own = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), pa.concat_arrays([h[2] for h in held])
+        keep, is_last = _first(query, far, own, k)
+        query, far, own = query[keep], far[keep], own.take(pa.array(keep))
+        cut[query[is_last]] = np.fmin(cut[query[is_last]], far[is_last])
+        held[:] = [(query, far, own)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(query)), own, pa.array(far)], ["qid", "id", "distance"])
+
+    for b in batches:
+        for a in range(0, b.num_rows, ROWS):
+            rows = b.slice(a, ROWS)
+            x = matrix_of(rows.column("vector"), q.shape[1])
+            x = unit(x) if metric is Metric.COSINE else x
+            square = (x * x).sum(1)
+            for c in range(0, len(q), COLUMNS):
+                y, most = q[c : c + COLUMNS], cut[c : c + COLUMNS]
+                near = y @ x.T
+                near *= -1
+                if metric is Metric.L2:
+                    near *= 2
+                    near += square
+                    near += (length[c : c + COLUMNS] ** 2)[:, None]
+                slack = SLACK * (1 + (length[c : c + COLUMNS] + np.sqrt(square.max())) ** 2)
+                # not a number is never beyond the limit
+                may = ~(near > (most + slack)[:, None])
+                if len(x) > k and may.sum() > 2 * k * len(y):
+                    may &= ~(near > (np.partition(near, k - 1, axis=1)[:, k - 1] + slack)[:, None])
+                query, row = np.nonzero(may)
+                step = max(1, PAIRS // max(1, q.shape[1]))
+                for i in range(0, len(row), step):
+                    r, n = row[i : i + step], query[i : i + step]
+                    far = ((x[r] - y[n]) ** 2).sum(1) if metric is Metric.L2 else -(x[r] * y[n]).sum(1) + 0.0
+                    ok = ~(far > most[n])
+                    held.append(((n[ok] + c).astype(np.int32), far[ok], rows.column("id").take(pa.array(r[ok]))))
+                    count += int(ok.sum())
+                    if count > bound:
+                        found = out()
+                        count = found.num_rows
+                        if 4 * count > 3 * bound:
+                            # too many to hold; the limits stay
+                            yield found
+                            held.clear()
+                            count = 0
+    if held:
+        yield out()
+
+
+def blocks(asked: DataFrame, kind) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """(ids, matrix) of at most ``QUERY_BLOCK`` queries at a time; a partition of queries is the most the
     driver holds besides."""
     held: list = []
@@ -112,8 +196,8 @@ def knn_batch(base: DataFrame, queries: DataFrame, k: int = 10, metric: Metric |
     """``(qid, id, distance, rank)`` for every query.
 
     Queries are broadcast in blocks of bounded size, one after the other as the driver reads
-    them; each task multiplies its rows with a block and passes on at most ``k`` rows (and ties of
-    rounding) a query, so what is shuffled does not grow with the base's rows but with its
+    them; each task multiplies its rows with a block and passes on about ``k`` rows a query (see
+    :func:`nearest`), so what is shuffled does not grow with the base's rows but with its
     partitions. Queries and records without a vector or with null components are not
     matched; two dimensions are an error.
     """
@@ -125,27 +209,11 @@ def knn_batch(base: DataFrame, queries: DataFrame, k: int = 10, metric: Metric |
     rows = rows.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull()))
     schema = f"qid {qid_type.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, distance double"
     found = base.sparkSession.createDataFrame([], schema)
-    for ids, matrix in _blocks(asked, qid_type):
+    for ids, matrix in blocks(asked, qid_type):
         shared = base.sparkSession.sparkContext.broadcast((ids, unit(matrix) if metric is Metric.COSINE else matrix))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            if k <= 0:
-                return
-            square = (q * q).sum(1)
-            for b in batches:
-                for a in range(0, b.num_rows, 4096):
-                    own = b.slice(a, 4096)
-                    x = matrix_of(own.column("vector"), q.shape[1])
-                    x = unit(x) if metric is Metric.COSINE else x
-                    near = -(x @ q.T)
-                    if metric is Metric.L2:
-                        near = 2 * near + square + (x * x).sum(1)[:, None]
-                    m = min(len(x), k)
-                    limit = np.partition(near, m - 1, axis=0)[m - 1] + 1e-9 * (1 + np.abs(near).max())
-                    row, query = np.nonzero(near <= limit)
-                    far = ((x[row] - q[query]) ** 2).sum(1) if metric is Metric.L2 else -(x[row] * q[query]).sum(1) + 0.0
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), own.column("id").take(pa.array(row)), pa.array(far)], ["qid", "id", "distance"])
+            yield from nearest(batches, *shared.value, k, metric)
 
         found = found.unionByName(rows.mapInArrow(scan, schema))
     return ranked(found, k)

@@ -3,10 +3,13 @@ import os
 import shutil
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +80,50 @@ def test_query_blocks(spark, monkeypatch):
     assert sorted((r.qid, r.id) for r in got) == [(i, i) for i in range(40)]
 
 
+def _peak(run) -> float:
+    """MB that ``run`` holds at most."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("metric", list(Metric))
+def test_batch_search_holds_tiles_only(metric):
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(30_000, 8)), rng.normal(size=(search.QUERY_BLOCK, 8))
+    x[20_000:20_100] = x[:100]  # ties between batches
+    q = search.unit(q) if metric is Metric.COSINE else q
+    batch = lambda a: pa.RecordBatch.from_arrays([pa.array(range(a, a + 10_000)), pa.array(list(x[a : a + 10_000]))], ["id", "vector"])
+    batches, found = [batch(a) for a in (0, 10_000, 20_000)], []
+    assert _peak(lambda: found.extend(search.nearest(iter(batches), pa.array(range(len(q))), q, 10, metric))) < 120  # one block of distances was 134
+    got = pa.Table.from_batches(found).sort_by([("qid", "ascending"), ("distance", "ascending"), ("id", "ascending")])
+    assert got.num_rows == 10 * len(q)
+    x = search.unit(x) if metric is Metric.COSINE else x
+    for i in range(0, len(q), 500):
+        far = search.exact(metric, x, q[i])
+        assert got["id"].to_pylist()[10 * i : 10 * i + 10] == np.lexsort((np.arange(len(x)), far.round(12)))[:10].tolist()
+
+
+def test_batch_search_passes_on_what_it_cannot_hold(monkeypatch):
+    monkeypatch.setattr(search, "HELD", 100)
+    x, q = np.zeros((5_000, 2)), np.zeros((40, 2))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5_000)), pa.array(list(x))], ["id", "vector"])
+    got = pa.Table.from_batches(search.nearest(iter([batch]), pa.array(range(40)), q, 10, Metric.L2)).sort_by([("qid", "ascending"), ("id", "ascending")])
+    for i in range(40):
+        assert got.filter(pa.compute.equal(got["qid"], i))["id"].to_pylist()[:10] == list(range(10))
+
+
+def test_not_a_number_comes_last(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0, [nan, 1.0]), (1, [3.0, 0.0]), (2, [1.0, 0.0]), (3, [float("inf"), 0.0])], "id long, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(7, [0.0, 0.0])], "qid long, query array<double>")
+    assert [r.id for r in search.knn_batch(df, q, 4).orderBy("rank").collect()] == [2, 1, 3, 0]
+    assert [r.id for r in search.knn_batch(df, q, 1).collect()] == [2]
+
+
 def test_filter_truth_table(spark):
     rows = ['{"x":3}', '{"x":3.0}', '{"x":"3"}', '{"x":true}', "{}", None, '{"a.b":1}', '{"x":null}', '{"x":-0.0}']
     df = spark.createDataFrame(list(enumerate(rows)), "id int, m string").select("id", F.try_parse_json("m").alias("metadata"))
