@@ -15,25 +15,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from sparkvane.functions.distance import Metric
 
-from .search import exact, ranked, unit
+from .search import blocks, exact, ranked, unit
 
 M, EF_CONSTRUCTION, EF_SEARCH, SEGMENT_ROWS = 16, 200, 50, 20_000
+#: Distances between rows of a segment that are held at once (8 MB), and queries whose results are.
+DISTANCES, ANSWERS = 1 << 20, 256
 
 
 def _near(metric: Metric, x: np.ndarray, a: int, b: int) -> np.ndarray:
-    s = -(x[a:b] @ x.T)
-    return 2 * s + (x * x).sum(1) + (x[a:b] * x[a:b]).sum(1)[:, None] if metric is Metric.L2 else s
+    s = x[a:b] @ x.T
+    s *= -1
+    if metric is Metric.L2:
+        s *= 2
+        s += (x * x).sum(1)
+        s += (x[a:b] * x[a:b]).sum(1)[:, None]
+    return s
 
 
 def build_links(x: np.ndarray, metric: Metric, m: int = M, ef: int = EF_CONSTRUCTION) -> np.ndarray:
     """Neighbours of each row, as a matrix filled with -1."""
     n = len(x)
     chosen: list[list[int]] = []
-    for a in range(0, n, 512):
-        d = _near(metric, x, a, min(n, a + 512))
+    step = max(1, DISTANCES // max(1, n))
+    for a in range(0, n, step):
+        d = _near(metric, x, a, min(n, a + step))
         e = min(n - 1, ef)
         for i, row in enumerate(d, a):
             row[i - 0] = np.inf
@@ -106,10 +115,11 @@ def build_index(base: DataFrame, metric: Metric | str = Metric.L2, id_col: str =
 def search_index(index: DataFrame, queries: DataFrame, k: int = 10, metric: Metric | str = Metric.L2, ef: int = EF_SEARCH, qid_col: str = "qid", query_col: str = "query", m: int = M) -> DataFrame:
     """``(qid, id, distance, rank)``; ``ef`` is at least ``k``. The query set is broadcast."""
     metric = Metric(metric)
-    got = queries.select(F.col(qid_col), F.col(query_col).cast("array<double>")).collect()
-    ids = [r[0] for r in got]
-    q = np.array([r[1] for r in got], np.float64)
-    shared = index.sparkSession.sparkContext.broadcast((ids, unit(q) if metric is Metric.COSINE and len(got) else q))
+    asked = queries.select(F.col(qid_col).cast("long").alias("qid"), F.col(query_col).cast("array<double>").alias("query"))
+    got = list(blocks(asked, LongType()))
+    ids = [i for block, _ in got for i in block.to_pylist()]
+    q = np.concatenate([x for _, x in got]) if got else np.zeros((0, 0))
+    shared = index.sparkSession.sparkContext.broadcast((ids, unit(q) if metric is Metric.COSINE and len(q) else q))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, q = shared.value
@@ -119,7 +129,8 @@ def search_index(index: DataFrame, queries: DataFrame, k: int = 10, metric: Metr
                 x = np.frombuffer(b.column("vectors")[i].as_py(), np.float64).reshape(-1, dim)
                 links = np.frombuffer(b.column("links")[i].as_py(), np.int32).reshape(len(x), -1)
                 entries = np.unique(np.linspace(0, len(x) - 1, min(len(x), 8)).astype(np.int64))
-                out = [(n, int(own[j]), v) for n, y in zip(qids, q) for v, j in beam(x, links, y, entries, metric, max(ef, k))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["qid", "id", "distance"])
+                for a in range(0, len(qids), ANSWERS):
+                    out = [(n, int(own[j]), v) for n, y in zip(qids[a : a + ANSWERS], q[a : a + ANSWERS]) for v, j in beam(x, links, y, entries, metric, max(ef, k))[:k]]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], ["qid", "id", "distance"])
 
     return ranked(index.mapInArrow(scan, "qid long, id long, distance double"), k)

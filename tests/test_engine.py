@@ -124,6 +124,11 @@ def test_not_a_number_comes_last(spark):
     assert [r.id for r in search.knn_batch(df, q, 1).collect()] == [2]
 
 
+def test_graph_is_built_from_few_distances_at_once():
+    x = np.random.default_rng(5).normal(size=(6000, 4))
+    assert _peak(lambda: ann.build_links(x, Metric.L2, m=4, ef=8)) < 45  # 512 rows and all others were 77
+
+
 def test_filter_truth_table(spark):
     rows = ['{"x":3}', '{"x":3.0}', '{"x":"3"}', '{"x":true}', "{}", None, '{"a.b":1}', '{"x":null}', '{"x":-0.0}']
     df = spark.createDataFrame(list(enumerate(rows)), "id int, m string").select("id", F.try_parse_json("m").alias("metadata"))
